@@ -1,0 +1,55 @@
+import re
+from collections import Counter
+
+from compare import assert_same
+from shelfwise.llm import exact_dedup as ed
+
+
+def test_agrees_with_sql(spark, sf_dir):
+    assert_same(ed.op9_exact_dedup(spark, sf_dir), ed.OP9_SQL, sf_dir)
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+def test_odd_rows(spark, write, odd_docs):
+    folder = write(odd_docs)
+    got = ed.op9_exact_dedup(spark, folder).collect()
+    assert len(got) == len(odd_docs)
+    size = Counter(norm(r[1]) for r in odd_docs)
+    kept = Counter(r.text_sha256 for r in got if r.kept)
+    assert len(kept) == len(size) and set(kept.values()) == {1}  # exactly one row of each group, repeats too
+    assert sorted(r.group_size for r in got) == sorted(size[norm(r[1])] for r in odd_docs)
+    assert {r.doc_id: r.keep_id for r in got if r.doc_id} | {} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9, 10: 10, 11: 11}
+
+
+def test_kept_documents_are_whole(spark, write, odd_docs):
+    folder = write(odd_docs)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = ed.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(norm(r.text) for r in got.collect()) == sorted({norm(r[1]) for r in odd_docs})
+    assert ed.deduplicate(docs.where("doc_id < 0")).count() == 0
+
+
+def test_index_persists_over_batches(spark, write, tmp_path):
+    folder = write([(i, f"text {i % 5}", "en", "s", 1) for i in range(10)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    index = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    assert ed.deduplicate(docs, index).count() == 5
+    assert ed.deduplicate(docs, index).count() == 0  # a repeated batch adds nothing
+    assert index.read().count() == 5
+    folder2 = write([(0, "text 3", "en", "s", 1), (77, "new", "en", "s", 1)], name="more")
+    report = ed.group_report(spark.read.parquet(f"{folder2}/more.parquet"), index).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in report} == {(0, 3, False), (77, 77, True)}
+    again = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    plan = again.new_digests(docs.selectExpr("text AS digest", "doc_id AS keep_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the index side stays in place
+
+
+def test_extra_columns(spark, write):
+    rows = [(1, "a", "x", "y"), (2, "a", "x", "y")]
+    folder = write(rows, schema="doc_id long, text string, digest string, keep_row string")
+    got = ed.deduplicate(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    assert [tuple(r) for r in got] == [rows[0]]
