@@ -4,14 +4,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import exact_dedup, sharding, simhash
+import corpus_pipeline
+from shelfwise.llm import embeddings, exact_dedup, langid, mixing, pages, pieces, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
         "op3_sharding": sharding.op3_sharding,
+        "op4_language_id": langid.op4_language_id,
+        "op5_html_extraction": pages.op5_html_extraction,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_token_counts": token_counts.op8_token_counts,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_embeddings": embeddings.op10_embeddings,
+        "pipeline": corpus_pipeline.run,
     }
 
 
