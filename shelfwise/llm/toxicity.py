@@ -239,7 +239,8 @@ def induce_terms(hit: dict[str, int], clean: dict[str, int], n1: int, n0: int) -
     longest: dict[str, int] = {}
     for f in hit:  # the commonest way to go on from each stem
         stem = f[:-1] if f.endswith("*") else f
-        for parent in {stem[:-1], stem}:
+        # a long word goes on from the longest stem counted
+        for parent in {stem[: min(len(stem) - 1, STEMS[-1])], stem}:
             if f != f"{parent}*":
                 longest[parent] = max(longest.get(parent, 0), hit[f])
     stems = {f[:-1] for f in strong if f.endswith("*") and longest.get(f[:-1], 0) < 0.9 * hit[f]}
