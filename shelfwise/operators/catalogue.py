@@ -29,14 +29,15 @@ def find_title(catalogue: DataFrame, term: str) -> DataFrame:
 
 
 def find_titles(catalogue: DataFrame, probes: DataFrame) -> DataFrame:
-    """Outcome of many searches. Probes with an empty term are not searches and are left out.
+    """Outcome of many searches. A probe with an empty term is no search and is left out, unless
+    the catalogue is empty, which is told before a term is asked for.
 
     The catalogue is reduced to the first record of each title before the join, so a title
     that fills much of the catalogue costs one partial aggregate and never a skewed join.
     """
     first = catalogue.groupBy("title").agg(F.min(F.struct("pos", "host", "duration")).alias("hit"))
-    asked = probes.where(non_empty(F.col("term")))
     size = catalogue.select(F.count("*")).scalar()
+    asked = probes.where(non_empty(F.col("term")) | (size == 0))
     outcome = F.when(size == 0, "empty").when(F.col("hit").isNull(), "not_found").otherwise("found")
     return asked.join(first, asked.term == first.title, "left").select(
         "probe_id", "term", outcome.alias("outcome"), "hit.pos", "hit.host", "hit.duration"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import (
-    FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty,
+    FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty, parse_int,
 )
 
 ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
@@ -37,6 +37,12 @@ def _with_state(commands: DataFrame) -> DataFrame:
     )
 
 
+def parse_choices(commands: DataFrame) -> DataFrame:
+    """A log whose choices are still text, as they were typed: each is read as a leading integer.
+    What is no integer becomes null and has no effect."""
+    return commands.withColumn("choice", parse_int(F.col("choice")))
+
+
 def effective(commands: DataFrame) -> DataFrame:
     kept = _with_state(commands).where(F.col("choice") != EXIT)
     return kept.select("session_id", "seq", "choice", "title", "host", "duration")

@@ -64,6 +64,12 @@ def test_view_head(spark):
     assert [r.title for r in cmd.replay_view(df, max_lines=1).collect()] == ["b"]
 
 
+def test_typed_choices(spark):
+    rows = [(1, 1, " 1x", "a", "h", 30), (1, 2, "view", "", "", 0), (1, 3, "2", "", "", 0), (1, 4, "99999999999", "", "", 0), (1, 5, "5", "", "", 0)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, choice string, title string, host string, duration int")
+    assert [(r.seq, r.outcome) for r in cmd.outcomes(cmd.parse_choices(df)).orderBy("seq").collect()] == [(1, "added"), (3, "listed"), (5, "exiting")]
+
+
 def test_stream_classifies_like_a_batch(spark, sf_dir, tmp_path):
     from shelfwise.operators.intake import classify
     from shelfwise.sources import raw_records
