@@ -276,3 +276,14 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs, for tables of the size that the comparison with SQL uses.
+OP10_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id)
+SELECT v.vec_id, COALESCE(c.n, 0) AS n_links, LEAST(v.vec_id, COALESCE(m.other, v.vec_id)) AS component_id,
+  v.vec_id = LEAST(v.vec_id, COALESCE(m.other, v.vec_id)) AS kept
+FROM v LEFT JOIN counts c ON c.vec_id = v.vec_id LEFT JOIN least m ON m.vec_id = v.vec_id"""

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from compare import assert_same
 from shelfwise.llm import embeddings as em
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -62,6 +63,10 @@ def test_given_table(spark):
     assert got == slow_links(rows)
 
 
+def test_agrees_with_sql(spark, sf_dir):
+    assert_same(em.op10_embeddings(spark, sf_dir), em.OP10_SQL, sf_dir)
+
+
 def test_odd_rows(spark, write, tmp_path):
     a, nan, inf = [1.0, 2.0, 0.5], float("nan"), float("inf")
     rows = [(5, a, 1), (3, a, 1), (3, a, 1), (None, a, 1), (7, [2.0, 4.0, 1.0], 1), (8, [1.0, 2.0], 1), (9, [1.0, 2.0], None), (8, [3.0, -1.0, 0.0], 1),
