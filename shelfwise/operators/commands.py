@@ -11,30 +11,30 @@ from pyspark.sql import functions as F
 from shelfwise.functions import (
     FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty, parse_int,
 )
+from shelfwise.operators.numbering import running
 
 ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
-_PAST = (Window.unboundedPreceding, -1)
+#: Consecutive sequence numbers of a session that one task scans.
+_SEQ_PER_BUCKET = 1_000_000
 
 
 def _with_state(commands: DataFrame) -> DataFrame:
     """Effective commands, the exit included, with ``s_last`` (seq of the last sort before it)
     and ``n_before`` (records in the list before it)."""
-    session = Window.partitionBy("session_id")
-    past = session.orderBy("seq").rowsBetween(*_PAST)
     fields_ok = non_empty(F.col("title")) & non_empty(F.col("host"))
     fields_ok &= in_range(F.col("duration"), MIN_DURATION, MAX_DURATION)
-    first_exit = F.min(F.when(F.col("choice") == EXIT, F.col("seq"))).over(session)
-    return (
-        commands.where(in_range(F.col("choice"), FIRST_CHOICE, LAST_CHOICE))
-        .withColumn("first_exit", first_exit)
-        .where(F.col("first_exit").isNull() | (F.col("seq") <= F.col("first_exit")))
-        .where((F.col("choice") != ADD) | fields_ok)
-        .withColumn("s_last", F.max(F.when(F.col("choice") == SORT, F.col("seq"))).over(past))
-        .withColumn("n_before", F.count(F.when(F.col("choice") == ADD, 1)).over(past))
-        # an empty term is asked for again, but an empty list answers before any term
-        .where((F.col("choice") != SEARCH) | non_empty(F.col("title")) | (F.col("n_before") == 0))
-        .drop("first_exit")
+    live = commands.where(in_range(F.col("choice"), FIRST_CHOICE, LAST_CHOICE) & ((F.col("choice") != ADD) | fields_ok))
+    exits = live.where(F.col("choice") == EXIT).groupBy(F.col("session_id").alias("left_session")).agg(F.min("seq").alias("first_exit"))
+    before_exit = (
+        live.join(exits, F.col("session_id") == F.col("left_session"), "left")
+        .where(F.col("first_exit").isNull() | (F.col("seq") <= F.col("first_exit"))).drop("left_session", "first_exit")
     )
+    state = running(
+        before_exit, ["session_id"], F.floor(F.col("seq") / _SEQ_PER_BUCKET), ["seq"],
+        {"s_last": ("max", F.when(F.col("choice") == SORT, F.col("seq"))), "n_before": ("count", F.when(F.col("choice") == ADD, 1))},
+    )
+    # an empty term is asked for again, but an empty list answers before any term
+    return state.where((F.col("choice") != SEARCH) | non_empty(F.col("title")) | (F.col("n_before") == 0))
 
 
 def parse_choices(commands: DataFrame) -> DataFrame:
@@ -49,28 +49,24 @@ def effective(commands: DataFrame) -> DataFrame:
 
 
 def _answers(state: DataFrame) -> DataFrame:
-    """Searches with ``hit`` (host, duration, add_seq), null for a miss.
+    """Searches with ``hit`` (duration, add_seq, host), null for a miss.
 
-    Adds and searches meet in one window per (session, title): a search stands at the moment of
-    its last sort and takes the least (duration, seq) added by then, or else the first record of
-    that title if it was added before the search itself.
+    Adds and searches of a title meet in one order: a search stands at the moment of its last
+    sort and takes the least (duration, seq) added by then, or else the first record of that
+    title if it was added before the search itself.
     """
-    at = F.when(F.col("choice") == ADD, F.col("seq")).otherwise(F.coalesce("s_last", F.lit(-1)))
     is_add = F.col("choice") == ADD
-    title = Window.partitionBy("session_id", "title")
-    until = title.orderBy("at", "choice").rowsBetween(*_PAST)
-    whole = title.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    asked = state.where(F.col("choice").isin(ADD, SEARCH)).withColumn("at", F.when(is_add, F.col("seq")).otherwise(F.coalesce("s_last", F.lit(-1))))
     by_sort = F.struct("duration", F.col("seq").alias("add_seq"), "host")
-    by_entry = F.struct(F.col("seq").alias("add_seq"), "duration", "host")
-    late = F.when(F.col("entered.add_seq") < F.col("seq"), F.struct("entered.duration", "entered.add_seq", "entered.host"))
-    return (
-        state.where(F.col("choice").isin(ADD, SEARCH))
-        .withColumn("at", at)
-        .withColumn("sorted", F.min(F.when(is_add, by_sort)).over(until))
-        .withColumn("entered", F.min(F.when(is_add, by_entry)).over(whole))
-        .where(F.col("choice") == SEARCH)
-        .withColumn("hit", F.coalesce("sorted", late))
+    sorted_in = running(
+        asked, ["session_id", "title"], F.floor(F.col("at") / _SEQ_PER_BUCKET), ["at", "choice"], {"sorted": ("min", F.when(is_add, by_sort))}
     )
+    first = state.where(is_add).groupBy(F.col("session_id").alias("first_session"), F.col("title").alias("first_title")).agg(
+        F.min(F.struct(F.col("seq").alias("add_seq"), "duration", "host")).alias("entered")
+    )
+    late = F.when(F.col("entered.add_seq") < F.col("seq"), F.struct("entered.duration", "entered.add_seq", "entered.host"))
+    on = (F.col("session_id") == F.col("first_session")) & (F.col("title") == F.col("first_title"))
+    return sorted_in.where(F.col("choice") == SEARCH).join(first, on, "left").withColumn("hit", F.coalesce("sorted", late))
 
 
 def _search_outcome():

@@ -1,6 +1,6 @@
-"""Gapless ordinals without sending the table through one task."""
+"""Gapless ordinals and running aggregates without sending a table, or a hot key, through one task."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,3 +45,34 @@ def by_position(df: DataFrame, pos: str, name: str) -> DataFrame:
 def by_duration(df: DataFrame, name: str) -> DataFrame:
     """Ordinal by (duration, pos). A hot duration is cut further by position."""
     return number_rows(df, [F.col("duration"), position_bucket("pos")], ["pos"], name)
+
+
+#: How a running measure is summed up over a bucket, and how two stretches of it combine.
+_KINDS = {
+    "min": (F.min, F.min, F.least),
+    "max": (F.max, F.max, F.greatest),
+    "count": (F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
+}
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], measures: Mapping[str, tuple[str, Column]]
+) -> DataFrame:
+    """Add measures (name -> (min | max | count, column)) over the rows of the key before each row.
+
+    ``bucket`` must be a prefix of the order. Each bucket of a key is scanned on its own, and one
+    row per bucket carries the sums of the buckets before it: a hot key is spread over tasks.
+    """
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumn("__b", bucket)
+    totals = cut.groupBy(*keys, "__b").agg(*[_KINDS[k][0](c).alias(f"__t_{n}") for n, (k, c) in measures.items()])
+    past = totals.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"),
+        *[_KINDS[k][1](f"__t_{n}").over(before).alias(f"__p_{n}") for n, (k, _) in measures.items()],
+    )
+    own = cut.withColumns({f"__i_{n}": _KINDS[k][0](c).over(inside) for n, (k, c) in measures.items()})
+    match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__b").eqNullSafe(F.col("__kb"))]
+    out = own.join(past, match)
+    out = out.withColumns({n: _KINDS[k][2](F.col(f"__p_{n}"), F.col(f"__i_{n}")) for n, (k, _) in measures.items()})
+    return out.select(*df.columns, *measures)
