@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Rounds of star contraction before giving up; it needs about the logarithm of the diameter.
 MAX_ROUNDS = 60
+#: Lookup tables up to this measured size are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,6 +30,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a lookup table and mark it for broadcast if its measured size allows; a larger
+    one is joined by shuffle."""
+    table = materialise(df, name)
+    return F.broadcast(table) if (table.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else table
+
+
 def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
     """A unique id per row, the same whenever the same files are scanned again.
 

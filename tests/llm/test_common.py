@@ -24,3 +24,19 @@ def test_components(spark, seed):
     assert all(got[n] == find(n) for n in got)
     assert set(root) - loops <= set(got)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_broadcast_depends_on_measured_size(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwise.llm.common import broadcast_if_small
+
+    df = spark.range(100)
+    plans = {}
+    for limit in (99, 100):
+        small = broadcast_if_small(df, F.lit(1), "ids", limit)
+        joined = spark.range(1000).join(small, "id")
+        plans[limit] = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 100
+    assert "strategy=broadcast" in plans[100] and "strategy=broadcast" not in plans[99]
+    assert broadcast_if_small(df.limit(0), F.lit(1), "none").count() == 0
