@@ -38,11 +38,11 @@ def collapse_retries(attempts: DataFrame, low: int = MIN_DURATION, high: int = M
     """First valid attempt of each entry; blank and invalid ones before it are passed over.
 
     Entries without a valid attempt are absent, as their prompt is still open. One partial
-    aggregate per entry, whatever the number of attempts.
+    aggregate per entry, whatever the number of attempts, and one parse per attempt.
     """
-    value = parse_int(F.col("raw"))
-    valid = attempts.withColumn("value", value).where(in_range(F.col("value"), low, high))
-    return valid.groupBy("entry_id").agg(F.min_by("value", "seq").alias("value"))
+    parsed = attempts.select("entry_id", "seq", parse_int(F.col("raw")).alias("value"))
+    valid_at = F.when(in_range(F.col("value"), low, high), F.col("seq"))
+    return parsed.groupBy("entry_id").agg(F.min_by("value", valid_at).alias("value")).where(F.col("value").isNotNull())
 
 
 def append(catalogue: DataFrame, batch: DataFrame) -> DataFrame:
