@@ -1,15 +1,42 @@
 """Queries and SQL of the corpus operators, for the driver contract."""
 
+import functools
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+import shelfwise
 from shelfwise.llm import embeddings, exact_dedup, langid, mixing, pages, pieces, sharding, simhash, token_counts, toxicity
 
 
+_ROOT = str(Path(shelfwise.__file__).resolve().parent.parent)
+
+
+@functools.cache
+def _ship(application: str) -> None:
+    """Hand the package to the Python workers of an application that cannot find it themselves."""
+    folder = tempfile.mkdtemp(prefix="shelfwise-")  # Spark serves the file to every executor
+    archive = shutil.make_archive(f"{folder}/shelfwise", "zip", _ROOT, "shelfwise")
+    SparkSession.active().sparkContext.addPyFile(archive)
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+            _ship(spark.sparkContext.applicationId)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
         "op3_sharding": sharding.op3_sharding,
@@ -22,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_embeddings": embeddings.op10_embeddings,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
