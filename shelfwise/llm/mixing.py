@@ -22,7 +22,7 @@ TEMPERATURE = 0.7
 #: Sources a mixture may name, as the schedule is planned over one row for each.
 MAX_SOURCES = 1000
 #: Rows that one task numbers.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8192
 
 
 def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -58,13 +58,13 @@ def one_period(quota: Mapping[str, int]) -> list[str]:
     return slots
 
 
-def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int) -> tuple[list, list]:
-    """Phases (source, phase, first_block, end_block, quota, period, start_row) and their slots
-    (source, phase, k, slot): the k-th block of a source in each period of a phase."""
+def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int) -> list[tuple]:
+    """(source, phase, first_block, end_block, period, start_row, slots) of each source in each
+    phase it takes part in; slots[k] is the slot of its k-th block in each period of the phase."""
     left = {s: -(-n // block) for s, n in rows.items() if n}
     done = dict.fromkeys(left, 0)
     short = {s: -(-n // block) * block - n for s, n in rows.items()}
-    phases, slots, start, phase = [], [], 0, 0
+    phases, start, phase = [], 0, 0
     while left:
         quota = quotas({s: weights[s] for s in left}, period)
         order = one_period(quota)
@@ -77,11 +77,10 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
                 length += 1
                 if used[s] == left[s]:
                     break
-        seen = dict.fromkeys(quota, 0)
+        slots: dict[str, list[int]] = {s: [] for s in left}
         for slot, s in enumerate(order):
-            slots.append((s, phase, seen[s], slot))
-            seen[s] += 1
-        phases += [(s, phase, done[s], done[s] + used[s], quota[s], len(order), start) for s in left]
+            slots[s].append(slot)
+        phases += [(s, phase, done[s], done[s] + used[s], len(order), start, slots[s]) for s in left]
         start += length * block
         for s in list(left):
             done[s] += used[s]
@@ -90,52 +89,54 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
                 start -= short[s]  # only a source's last block can be short, and it ends a phase
                 del left[s]
         phase += 1
-    return phases, slots
+    return phases
 
 
-def _number(rows: DataFrame, total: int) -> DataFrame:
-    """Add ``idx``, the row's place within its source in a seeded random order. A large source is
-    numbered in many buckets of that order, so no source meets in one task."""
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    key = F.xxhash64("doc.doc_id", "doc.text")
-    rows = rows.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+def _number(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
+    """Add ``idx``, the row's place within its source in the order of ``key``. A large source is
+    numbered in many buckets of keys, so no source meets in one task."""
+    sizes = [(s, max(1, -(-n // BUCKET_ROWS))) for s, n in counts.items()]  # at most MAX_SOURCES rows
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(sizes, "b_source string, buckets long"))
+    rows = rows.join(sizes, F.col("source") == F.col("b_source")).withColumn("bucket", F.pmod("key", "buckets"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     offsets = offsets.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "doc.doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key"))
     numbered = rows.withColumn("place", place)
     return numbered.join(offsets, ["source", "bucket"]).withColumn("idx", F.col("offset") + F.col("place") - 1)
 
 
 def schedule(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source: Column | None = None,
-    block: int = BLOCK_ROWS, period: int = PERIOD,
+    key: Column | None = None, block: int = BLOCK_ROWS, period: int = PERIOD,
 ) -> DataFrame:
     """doc (the whole row), source, block, slot (of the block, within its phase), phase, position.
 
-    ``position`` counts from 0 without gaps over all rows. A null source is the source "".
+    ``position`` counts from 0 without gaps over all rows. Rows of a source go in the order of
+    ``key`` (long; a hash of id and text unless given), so blocks are random. A null source is the source "".
     Sources without a given weight are an error, as are more than MAX_SOURCES sources. Repeated
     rows are placed one after the other; an empty table gives no rows.
     """
     source = F.coalesce("source", F.lit("")) if source is None else source
-    rows = docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"))
+    key = F.xxhash64("doc_id", "text") if key is None else key
+    # packed, so that no column of the documents can clash with the ones added here
+    rows = docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"), key.alias("key"))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give them a coarser key")
     weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
     if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    phases, slots = plan(counts, weights, block, period)
-    spark = docs.sparkSession
-    phases = spark.createDataFrame(phases, "p_source string, phase int, first long, end long, quota int, period int, start_row long")
-    slots = spark.createDataFrame(slots, "s_source string, s_phase int, s_k int, slot_in_period int")
-    numbered = _number(rows, sum(counts.values())).withColumn("block", F.floor(F.col("idx") / block))
+    # at most MAX_SOURCES phases, and MAX_SOURCES or PERIOD slots in each
+    phases = F.broadcast(docs.sparkSession.createDataFrame(
+        plan(counts, weights, block, period),
+        "p_source string, phase int, first long, end long, period int, start_row long, slots array<int>",
+    ))
+    numbered = _number(rows, counts).withColumn("block", F.floor(F.col("idx") / block))
     in_phase = (F.col("source") == F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    phased = numbered.join(phases, in_phase).withColumn("nth", F.col("block") - F.col("first"))
-    same_slot = (F.col("source") == F.col("s_source")) & (F.col("phase") == F.col("s_phase"))
-    same_slot &= F.pmod("nth", "quota") == F.col("s_k")
-    slot = F.floor(F.col("nth") / F.col("quota")) * F.col("period") + F.col("slot_in_period")
-    return phased.join(slots, same_slot).select(
+    nth, quota = F.col("block") - F.col("first"), F.size("slots")
+    slot = F.floor(nth / quota) * F.col("period") + F.element_at("slots", (F.pmod(nth, quota) + 1).cast("int"))
+    return numbered.join(phases, in_phase).select(
         "doc", "source", "block", slot.alias("slot"), "phase",
         (F.col("start_row") + slot * block + F.pmod("idx", F.lit(block))).alias("position"),
     )
@@ -147,5 +148,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **options)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # the texts only make the keys: they stay behind before the rows are shuffled
+    slim = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"))
+    placed = schedule(slim, key=F.col("key"))
     return placed.select("doc.doc_id", "source", "phase", "block", "slot", "position")

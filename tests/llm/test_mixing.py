@@ -86,3 +86,11 @@ def test_odd_rows(spark, write, odd_docs):
     assert mx.mix(clash).columns == clash.columns and mx.mix(clash).count() == len(odd_docs)
     with pytest.raises(ValueError):
         mx.mix(docs, {"a": 1.0})
+
+
+def test_mixed_files_follow_the_schedule(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mx.mix(docs, {f"src{i}": 1.0 + i for i in range(20)}, block=4).write.parquet(str(tmp_path / "mixed"))
+    want = [r.doc_id for r in mx.schedule(docs, {f"src{i}": 1.0 + i for i in range(20)}, block=4).orderBy("position").select("doc.doc_id").collect()]
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    assert [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == want
