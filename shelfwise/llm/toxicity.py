@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from shelfwise.llm.common import materialise
 
 #: Labelled rows of each class that the model is fitted on: least hashes of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
-#: A term needs this log-odds and this G statistic (beyond chance among millions of words).
-MIN_LOG_ODDS, MIN_G, MIN_DOCS = 2.0, 24.0, 4
+#: A term needs this log-odds (its lower bound) and this G statistic (beyond chance among millions of words).
+MIN_LOG_ODDS, MIN_G, MIN_DOCS = 1.5, 24.0, 4
 #: A context cue occurs in at most this share of the documents.
 MAX_CUE_SHARE = 0.1
 #: Shortest and longest stem; most terms, the strongest first.
@@ -198,8 +199,10 @@ class Model:
 
 
 def _log_odds(hit: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of a document having the feature, and the G statistic of the two counts."""
+    """Log-odds of a document having the feature, less two standard errors, so that words of a few
+    copies weigh little; and the G statistic of the two counts."""
     odds = np.log((hit + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / (hit + 0.5) + 1 / (clean + 0.5)), 0)
     n = hit + clean
     expect1, expect0 = n * n1 / (n1 + n0), n * n0 / (n1 + n0)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -265,6 +268,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return w
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two least hashes of the word triples of each text: near copies mostly share both."""
+    for batch in batches:
+        low = []
+        for text in batch.column(0):
+            w = (text.as_py() or "").lower().split()
+            triples = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+            low.append([min(xxhash.xxh64_intdigest(t, seed) for t in triples) >> 1 for seed in (1, 2)])
+        first, second = (pa.array([x[k] for x in low], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, second], names=["text", "toxic", "first", "second"])
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """One text of those that share a least hash, so a group of near copies counts about once."""
+    rows = sample.select("text", "toxic").mapInArrow(_sketches, "text string, toxic int, first long, second long")
+    for key in ("first", "second"):
+        rows = rows.groupBy(key).agg(F.min_by(F.struct("text", "toxic", "first", "second"), F.xxhash64("text", "toxic")).alias("one")).select("one.*")
+    return rows.select("text", "toxic")
+
+
 def _describe(model: Model):
     """Features of each row, and the words of its windows."""
 
@@ -279,7 +302,7 @@ def _describe(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of labelled documents; equal texts count once for the lexicon.
+    """Fit on a bounded sample of labelled documents; near copies count about once for the lexicon.
 
     Without labelled documents of both kinds the model has no terms and scores by the base rate.
     """
@@ -290,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen.unionByName(marked.where("toxic = 0").orderBy(*by_hash).limit(SAMPLE_CLEAN))
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
-    distinct = sample.dropDuplicates(["text"])
+    distinct = materialise(_without_copies(sample), "toxic-distinct")
     sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     terms: list[Term] = []
