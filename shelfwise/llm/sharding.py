@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 SHARDS, SEED = 16, 20_240
 #: Aim for the text bytes of a bucket: it is shuffled in the memory of one Python worker.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 _LAW = "rows"
 
 
