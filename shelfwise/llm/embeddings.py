@@ -43,9 +43,10 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    usable = vectors.select("vec_id", "embedding").where(finite & (norm > 0))
-    grouped = usable.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    return grouped.select("embedding", "least", "weight", F.size("embedding").alias("dim"), F.transform(v, lambda x: x / norm).alias("unit"))
+    usable = vectors.select("vec_id", "embedding", norm.alias("norm")).where(finite & (norm > 0))
+    # the norm passes through the grouping, so that it is not worked out again for each component
+    grouped = usable.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.max("norm").alias("norm"))
+    return grouped.select("embedding", "least", "weight", F.size("embedding").alias("dim"), F.transform(v, lambda x: x / F.col("norm")).alias("unit"))
 
 
 def _best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
