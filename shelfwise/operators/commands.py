@@ -11,27 +11,31 @@ from pyspark.sql import functions as F
 from shelfwise.functions import (
     FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty, parse_int,
 )
-from shelfwise.operators.numbering import running
+from shelfwise.operators.numbering import least_of_key, running
 
 ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
 #: Consecutive sequence numbers of a session that one task scans.
 _SEQ_PER_BUCKET = 1_000_000
+#: Commands of a session that one task replays; if any session has more, sessions are split.
+_ROWS_PER_TASK = 5_000_000
 
 
-def _with_state(commands: DataFrame) -> DataFrame:
+def _has_hot_session(commands: DataFrame) -> bool:
+    """Reads the session column only."""
+    return not commands.groupBy("session_id").count().where(F.col("count") > _ROWS_PER_TASK).isEmpty()
+
+
+def _with_state(commands: DataFrame, split: bool) -> DataFrame:
     """Effective commands, the exit included, with ``s_last`` (seq of the last sort before it)
     and ``n_before`` (records in the list before it)."""
     fields_ok = non_empty(F.col("title")) & non_empty(F.col("host"))
     fields_ok &= in_range(F.col("duration"), MIN_DURATION, MAX_DURATION)
     live = commands.where(in_range(F.col("choice"), FIRST_CHOICE, LAST_CHOICE) & ((F.col("choice") != ADD) | fields_ok))
-    exits = live.where(F.col("choice") == EXIT).groupBy(F.col("session_id").alias("left_session")).agg(F.min("seq").alias("first_exit"))
-    before_exit = (
-        live.join(exits, F.col("session_id") == F.col("left_session"), "left")
-        .where(F.col("first_exit").isNull() | (F.col("seq") <= F.col("first_exit"))).drop("left_session", "first_exit")
-    )
+    ended = least_of_key(live, ["session_id"], "first_exit", F.when(F.col("choice") == EXIT, F.col("seq")), split)
+    before_exit = ended.where(F.col("first_exit").isNull() | (F.col("seq") <= F.col("first_exit"))).drop("first_exit")
     state = running(
         before_exit, ["session_id"], F.floor(F.col("seq") / _SEQ_PER_BUCKET), ["seq"],
-        {"s_last": ("max", F.when(F.col("choice") == SORT, F.col("seq"))), "n_before": ("count", F.when(F.col("choice") == ADD, 1))},
+        {"s_last": ("max", F.when(F.col("choice") == SORT, F.col("seq"))), "n_before": ("count", F.when(F.col("choice") == ADD, 1))}, split,
     )
     # an empty term is asked for again, but an empty list answers before any term
     return state.where((F.col("choice") != SEARCH) | non_empty(F.col("title")) | (F.col("n_before") == 0))
@@ -44,11 +48,11 @@ def parse_choices(commands: DataFrame) -> DataFrame:
 
 
 def effective(commands: DataFrame) -> DataFrame:
-    kept = _with_state(commands).where(F.col("choice") != EXIT)
+    kept = _with_state(commands, _has_hot_session(commands)).where(F.col("choice") != EXIT)
     return kept.select("session_id", "seq", "choice", "title", "host", "duration")
 
 
-def _answers(state: DataFrame) -> DataFrame:
+def _answers(state: DataFrame, split: bool) -> DataFrame:
     """Searches with ``hit`` (duration, add_seq, host), null for a miss.
 
     Adds and searches of a title meet in one order: a search stands at the moment of its last
@@ -58,15 +62,13 @@ def _answers(state: DataFrame) -> DataFrame:
     is_add = F.col("choice") == ADD
     asked = state.where(F.col("choice").isin(ADD, SEARCH)).withColumn("at", F.when(is_add, F.col("seq")).otherwise(F.coalesce("s_last", F.lit(-1))))
     by_sort = F.struct("duration", F.col("seq").alias("add_seq"), "host")
-    sorted_in = running(
-        asked, ["session_id", "title"], F.floor(F.col("at") / _SEQ_PER_BUCKET), ["at", "choice"], {"sorted": ("min", F.when(is_add, by_sort))}
-    )
-    first = state.where(is_add).groupBy(F.col("session_id").alias("first_session"), F.col("title").alias("first_title")).agg(
-        F.min(F.struct(F.col("seq").alias("add_seq"), "duration", "host")).alias("entered")
-    )
+    by_entry = F.struct(F.col("seq").alias("add_seq"), "duration", "host")
+    key = ["session_id", "title"]
+    measures = {"sorted": ("min", F.when(is_add, by_sort))}
+    sorted_in = running(asked, key, F.floor(F.col("at") / _SEQ_PER_BUCKET), ["at", "choice"], measures, split)
+    found = least_of_key(sorted_in, key, "entered", F.when(is_add, by_entry), split)
     late = F.when(F.col("entered.add_seq") < F.col("seq"), F.struct("entered.duration", "entered.add_seq", "entered.host"))
-    on = (F.col("session_id") == F.col("first_session")) & (F.col("title") == F.col("first_title"))
-    return sorted_in.where(F.col("choice") == SEARCH).join(first, on, "left").withColumn("hit", F.coalesce("sorted", late))
+    return found.where(F.col("choice") == SEARCH).withColumn("hit", F.coalesce("sorted", late))
 
 
 def _search_outcome():
@@ -75,7 +77,8 @@ def _search_outcome():
 
 def replay_search(commands: DataFrame) -> DataFrame:
     """What each search would have shown at that moment."""
-    return _answers(_with_state(commands)).select(
+    split = _has_hot_session(commands)
+    return _answers(_with_state(commands, split), split).select(
         "session_id", "seq", F.col("title").alias("term"), _search_outcome().alias("outcome"),
         F.col("hit.host").alias("host"), F.col("hit.duration").alias("duration"),
     )
@@ -86,7 +89,7 @@ def replay_view(commands: DataFrame, max_lines: int | None = None) -> DataFrame:
 
     ``max_lines`` shows only the head of each list.
     """
-    state = _with_state(commands)
+    state = _with_state(commands, _has_hot_session(commands))
     views = state.where(F.col("choice") == VIEW).select("session_id", "seq", "s_last")
     adds = state.where(F.col("choice") == ADD).select(
         F.col("session_id").alias("add_session"), F.col("seq").alias("add_seq"), "title", "host", "duration"
@@ -103,7 +106,8 @@ def replay_view(commands: DataFrame, max_lines: int | None = None) -> DataFrame:
 
 def outcomes(commands: DataFrame) -> DataFrame:
     """One row per effective command, with what it led to."""
-    state = _with_state(commands)
+    split = _has_hot_session(commands)
+    state = _with_state(commands, split)
     empty = F.col("n_before") == 0
     other = (
         F.when(F.col("choice") == ADD, "added")
@@ -114,4 +118,4 @@ def outcomes(commands: DataFrame) -> DataFrame:
     )
     columns = ("session_id", "seq", "choice")
     rest = state.where(F.col("choice") != SEARCH).select(*columns, other.alias("outcome"))
-    return rest.unionByName(_answers(state).select(*columns, _search_outcome().alias("outcome")))
+    return rest.unionByName(_answers(state, split).select(*columns, _search_outcome().alias("outcome")))

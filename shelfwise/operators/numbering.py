@@ -56,13 +56,17 @@ _KINDS = {
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], measures: Mapping[str, tuple[str, Column]]
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], measures: Mapping[str, tuple[str, Column]], split: bool
 ) -> DataFrame:
     """Add measures (name -> (min | max | count, column)) over the rows of the key before each row.
 
-    ``bucket`` must be a prefix of the order. Each bucket of a key is scanned on its own, and one
-    row per bucket carries the sums of the buckets before it: a hot key is spread over tasks.
+    Without ``split`` a key is one window: one shuffle. With it each ``bucket``, which must be a
+    prefix of the order, is scanned on its own, and one row per bucket carries the sums of those
+    before it: a hot key is spread over tasks, at the price of reading the input once more.
     """
+    if not split:
+        past = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: _KINDS[k][0](c).over(past) for n, (k, c) in measures.items()})
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     cut = df.withColumn("__b", bucket)
@@ -76,3 +80,11 @@ def running(
     out = own.join(past, match)
     out = out.withColumns({n: _KINDS[k][2](F.col(f"__p_{n}"), F.col(f"__i_{n}")) for n, (k, _) in measures.items()})
     return out.select(*df.columns, *measures)
+
+
+def least_of_key(df: DataFrame, keys: Sequence[str], name: str, column: Column, split: bool) -> DataFrame:
+    """Add the least value of the column over all rows of the key; ``split`` as in running()."""
+    if not split:
+        return df.withColumn(name, F.min(column).over(Window.partitionBy(*keys)))
+    least = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min(column).alias(name))
+    return df.join(least, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]).select(*df.columns, name)

@@ -39,9 +39,11 @@ def simulate(log):
     return out, shown, answers
 
 
-@pytest.mark.parametrize("seed,bucket", [(0, 1_000_000), (1, 7), (2, 1)])
+@pytest.mark.parametrize("seed,bucket", [(0, None), (1, 7), (2, 1)])
 def test_replay_agrees_with_a_list(spark, monkeypatch, seed, bucket):
-    monkeypatch.setattr(cmd, "_SEQ_PER_BUCKET", bucket)  # sessions cut into many buckets give the same
+    if bucket:  # hot sessions, cut into many buckets, give the same
+        monkeypatch.setattr(cmd, "_SEQ_PER_BUCKET", bucket)
+        monkeypatch.setattr(cmd, "_ROWS_PER_TASK", 10)
     rng = random.Random(seed)
     logs = {
         s: [(s, q, rng.choice([1, 1, 1, 2, 3, 3, 4, 9] + [5] * (q > 25)), rng.choice(["a", "b", "c", ""]), rng.choice(["h", "g", ""]), rng.choice([0, 5, 5, 7, 1000, 1001])) for q in range(40)]
