@@ -3,95 +3,120 @@
 Rows of a source are cut into blocks. With weight w, block k of a source is released at slot
 floor(k / w) and due by slot ceil((k + 1) / w); at each slot the released block with the
 earliest deadline goes out. After any number of slots each source is then less than one block
-away from its share. With weights in parts of a period, the schedule repeats with the period,
-so only one period is simulated, on the driver, over one small row per source; blocks find
-their slots by joins. When a source runs out, the weights of the others are scaled up and a new
-phase begins, so that all rows are placed; the bound holds within each phase.
+away from its share. Weights are exact fractions, never rounded, so the order need not repeat:
+the driver deals the slots one by one, over the sources' row counts only, and holds one number a
+block; blocks find their slots by joins. When a source runs out, the weights of the others are
+scaled up and a new phase begins, so that all rows are placed; the bound holds within each phase.
 """
 
-from collections.abc import Mapping
+from array import array
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
+from itertools import islice
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, PERIOD = 32, 1000
+from shelfwise.llm.common import BROADCAST_BYTES, materialise
+
+BLOCK_ROWS = 32
+#: Slots of a period that weights are rounded to; None: they are not rounded.
+PERIOD: int | None = None
 #: Without given weights, a source weighs its row count to this power: small ones gain.
 TEMPERATURE = 0.7
 #: Sources a mixture may name, as the schedule is planned over one row for each.
 MAX_SOURCES = 1000
-#: Rows that one task numbers.
-BUCKET_ROWS = 8192
-
-
-def quotas(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Blocks of each source in a period: its share, rounded by largest remainder, at least one."""
-    total = sum(weights.values())
-    period = max(period, len(weights))
-    spare = period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in by_rest[: period - sum(out.values())]:
-        out[s] += 1
+#: Rows that one task numbers; blocks of a source whose slots are one row of the schedule.
+BUCKET_ROWS, CHUNK = 8192, 4096
+
+
+def quotas(weights: Mapping[str, float], period: int | None = None) -> dict[str, int]:
+    """Blocks of each source in a period: its share, rounded by largest remainder, at least one.
+    Without a period, the least whole numbers in exact proportion to the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if period is None:
+        unit = lcm(*(x.denominator for x in exact.values()))
+        whole = {s: int(x * unit) for s, x in exact.items()}
+        common = gcd(*whole.values())
+        return {s: n // common for s, n in whole.items()}
+    total, period = sum(exact.values()), max(period, len(weights))
+    exact = {s: period * x / total for s, x in exact.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    while (rest := period - sum(out.values())) != 0:  # to whom most is owed, or from whom has most beyond its share
+        step = 1 if rest > 0 else -1
+        able = [s for s in out if rest > 0 or out[s] > 1]
+        for s in sorted(able, key=lambda s: (step * (out[s] - exact[s]), s))[: abs(rest)]:
+            out[s] += step
     return out
 
 
-def one_period(quota: Mapping[str, int]) -> list[str]:
-    """The source of each slot, earliest deadline first among released blocks."""
+def _deal(quota: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
     period = sum(quota.values())
-    waiting: dict[int, list[tuple[int, str]]] = {}
-    for s, n in quota.items():
-        w = Fraction(n, period)
-        for k in range(n):
-            waiting.setdefault(int(k / w), []).append((-int(-(k + 1) / w), s))
-    ready: list[tuple[int, str]] = []
-    slots = []
-    for t in range(period):
-        for job in waiting.get(t, ()):
-            heappush(ready, job)
-        deadline, s = heappop(ready)
+    ready = [(-(-period // n), s, 0) for s, n in quota.items()]  # deadline, source, its block
+    heapify(ready)
+    waiting: list[tuple[int, int, str, int]] = []  # release, then the same
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            heappush(ready, heappop(waiting)[1:])
+        deadline, s, k = heappop(ready)
         if deadline <= t:
             raise AssertionError("a block missed its deadline")
-        slots.append(s)
-    return slots
+        yield s
+        t, k, n = t + 1, k + 1, quota[s]
+        release, due = k * period // n, -(-(k + 1) * period // n)
+        if release <= t:
+            heappush(ready, (due, s, k))
+        else:
+            heappush(waiting, (release, due, s, k))
 
 
-def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int) -> list[tuple]:
-    """(source, phase, first_block, end_block, period, start_row, slots) of each source in each
-    phase it takes part in; slots[k] is the slot of its k-th block in each period of the phase."""
+def one_period(quota: Mapping[str, int]) -> list[str]:
+    """The source of each slot of a period."""
+    return list(islice(_deal(quota), sum(quota.values())))
+
+
+def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int | None = None) -> list[tuple]:
+    """(source, phase, first_block, end_block, start_row, slots) of each source in each phase it
+    takes part in; slots[k] is the slot of its k-th block in the phase."""
     left = {s: -(-n // block) for s, n in rows.items() if n}
     done = dict.fromkeys(left, 0)
     short = {s: -(-n // block) * block - n for s, n in rows.items()}
     phases, start, phase = [], 0, 0
     while left:
-        quota = quotas({s: weights[s] for s in left}, period)
-        order = one_period(quota)
-        whole = min(n // quota[s] for s, n in left.items())
-        used = {s: whole * q for s, q in quota.items()}
-        length = whole * len(order)
-        if all(used[s] < n for s, n in left.items()):  # on to the slot that empties a source
-            for s in order:
-                used[s] += 1
-                length += 1
-                if used[s] == left[s]:
-                    break
-        slots: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
+        slots = {s: array("q") for s in left}
+        for slot, s in enumerate(_deal(quotas({s: weights[s] for s in left}, period))):
             slots[s].append(slot)
-        phases += [(s, phase, done[s], done[s] + used[s], len(order), start, slots[s]) for s in left]
-        start += length * block
-        for s in list(left):
-            done[s] += used[s]
-            left[s] -= used[s]
-            if not left[s]:
-                start -= short[s]  # only a source's last block can be short, and it ends a phase
-                del left[s]
+            if len(slots[s]) == left[s]:
+                break
+        phases += [(s, phase, done[s], done[s] + len(slots[s]), start, slots[s]) for s in left]
+        done = {s: done[s] + len(slots[s]) for s in left}
+        left = {s: n - len(slots[s]) for s, n in left.items()}
+        # only a source's last block can be short, and it ends a phase
+        start += (slot + 1) * block - short[s]
+        left = {s: n for s, n in left.items() if n}
         phase += 1
     return phases
 
 
+def _chunks(phases: list[tuple]) -> pa.Table:
+    """The plan in rows of at most CHUNK blocks of a source, which blocks find by equality."""
+    cut = []
+    for s, phase, first, end, start, slots in phases:
+        for chunk in range(first // CHUNK, -(-end // CHUNK)):
+            low, high = max(first, chunk * CHUNK), min(end, (chunk + 1) * CHUNK)
+            if low < high:
+                cut.append((s, chunk, phase, low, high, start, slots[low - first : high - first]))
+    types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    names = ["p_source", "chunk", "phase", "first", "end", "start_row", "slots"]
+    columns = zip(*cut, strict=True) if cut else [()] * len(names)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def _number(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
     """Add ``idx``, the row's place within its source in the order of ``key``. A large source is
     numbered in many buckets of keys, so no source meets in one task."""
@@ -108,7 +133,7 @@ def _number(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
 
 def schedule(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source: Column | None = None,
-    key: Column | None = None, block: int = BLOCK_ROWS, period: int = PERIOD,
+    key: Column | None = None, block: int = BLOCK_ROWS, period: int | None = PERIOD,
 ) -> DataFrame:
     """doc (the whole row), source, block, slot (of the block, within its phase), phase, position.
 
@@ -127,15 +152,13 @@ def schedule(
     weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
     if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    # at most MAX_SOURCES phases, and MAX_SOURCES or PERIOD slots in each
-    phases = F.broadcast(docs.sparkSession.createDataFrame(
-        plan(counts, weights, block, period),
-        "p_source string, phase int, first long, end long, period int, start_row long, slots array<int>",
-    ))
+    planned = _chunks(plan(counts, weights, block, period))
+    phases = docs.sparkSession.createDataFrame(planned, "p_source string, chunk long, phase int, first long, end long, start_row long, slots array<long>")
+    phases = F.broadcast(phases) if planned.nbytes <= BROADCAST_BYTES else materialise(phases, "slots")
     numbered = _number(rows, counts).withColumn("block", F.floor(F.col("idx") / block))
-    in_phase = (F.col("source") == F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    nth, quota = F.col("block") - F.col("first"), F.size("slots")
-    slot = F.floor(nth / quota) * F.col("period") + F.element_at("slots", (F.pmod(nth, quota) + 1).cast("int"))
+    of_chunk = (F.col("source") == F.col("p_source")) & (F.floor(F.col("block") / CHUNK) == F.col("chunk"))
+    in_phase = of_chunk & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
+    slot = F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int"))
     return numbered.join(phases, in_phase).select(
         "doc", "source", "block", slot.alias("slot"), "phase",
         (F.col("start_row") + slot * block + F.pmod("idx", F.lit(block))).alias("position"),

@@ -94,3 +94,24 @@ def test_mixed_files_follow_the_schedule(spark, sf_dir, tmp_path):
     want = [r.doc_id for r in mx.schedule(docs, {f"src{i}": 1.0 + i for i in range(20)}, block=4).orderBy("position").select("doc.doc_id").collect()]
     files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
     assert [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == want
+
+
+@pytest.mark.parametrize("weights", [None, {f"s{i:02}": w for i, w in enumerate([1e-4, 0.3, 0.05, 7.0])}])
+def test_every_prefix_is_near_the_target_weights(weights):
+    sizes = {f"s{i:02}": 160_000 if i == 0 else 16_000 for i in range(20)} if weights is None else {s: 400_000 for s in weights}
+    weights = weights or {s: n**mx.TEMPERATURE for s, n in sizes.items()}
+    left = dict(weights)
+    phases = mx.plan(sizes, weights, 4, mx.PERIOD)
+    blocks = {}
+    for s, phase, first, end, *_, slots in phases:
+        blocks.setdefault(phase, {})[s] = list(slots)
+        assert len(slots) == end - first
+    assert sum(len(slots) for of in blocks.values() for slots in of.values()) == sum(-(-n // 4) for n in sizes.values())
+    for of in blocks.values():
+        total = sum(Fraction(left[s]) for s in of)
+        assert sorted(t for slots in of.values() for t in slots) == list(range(sum(map(len, of.values()))))
+        for s, slots in of.items():
+            w = Fraction(left[s]) / total
+            for k, t in enumerate(slots):  # just before and just after each block
+                assert k - w * t > -1 and k + 1 - w * (t + 1) < 1
+            assert len(slots) - w * sum(map(len, of.values())) > -1
