@@ -5,8 +5,9 @@ list of nearest neighbours; then neighbours of neighbours are compared, round by
 neighbour of a neighbour is likely a neighbour. Edges at or above the threshold, checked in
 double precision, are the links. A node whose whole list is links is saturated: its list is
 enlarged to all of its component, compared in blocks, so dense groups are counted exactly and
-their pairs never listed. Recall is audited by comparing a hashed set of queries with all
-vectors; while it is too low, lists are doubled and the descent goes on.
+their pairs never listed. Recall is audited by comparing a hashed share of the nodes with all
+vectors; while it is too low for the mean query or for queries of any group size, lists are
+doubled and the descent goes on. Where that does not help, all pairs are compared in blocks.
 """
 
 import math
@@ -24,8 +25,10 @@ THRESHOLD = 0.95
 NEIGHBOURS, TREES, LEAF = 8, 6, 128
 #: Rounds of descent end early once under this share of the list entries is new.
 MAX_ROUNDS, SETTLED = 5, 0.01
-#: Queries of the audit, the recall it asks for, and how often lists may be doubled for it.
-AUDITED, TARGET_RECALL, MAX_DOUBLINGS = 1000, 0.97, 3
+#: The audit's queries: one node in AUDITED_ONE_IN, more of a small table to have AUDITED; compared in blocks.
+AUDITED, AUDITED_ONE_IN, AUDIT_BLOCK = 1000, 20, 4096
+#: The recall the audit asks for, and how often lists may be doubled for it.
+TARGET_RECALL, MAX_DOUBLINGS = 0.97, 3
 #: Nodes of a component compared with each other in one task; reverse lists are sampled in salts.
 BLOCK, SALTS = 1024, 16
 SEED = 7
@@ -168,8 +171,29 @@ def exact_links(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(cosine >= threshold).select("a", "b")
 
 
-def _whole_components(members: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(id, links) over all pairs of each component, in blocks of nodes.
+def _forest(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Places of links that join the same nodes as all of them do, at most one less than the nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(zip(src.tolist(), dst.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            root[b] = a
+            kept.append(k)
+    return np.array(kept, int)
+
+
+def _whole_components(members: DataFrame, dim: int, threshold: float, joining: bool = False) -> DataFrame:
+    """(id, links) over all pairs of each component, in blocks of nodes; if ``joining``, also rows
+    (id, links, other) with no links, each a link, that join what is linked.
 
     Members (id, weight, unit, root): a component of m nodes makes m * m / BLOCK rows, and each
     pair of blocks adds one row per node, never one per pair.
@@ -188,6 +212,7 @@ def _whole_components(members: DataFrame, dim: int, threshold: float) -> DataFra
         same = pair["i"][0].as_py() == pair["j"][0].as_py()
         a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(is_i), np.flatnonzero(~is_i))
         links = np.zeros(len(ids), np.int64)
+        ends: list[np.ndarray] = []
         for s in range(0, len(a), BLOCK):
             rows = a[s : s + BLOCK]
             near = x[rows] @ x[b].T >= threshold
@@ -196,32 +221,66 @@ def _whole_components(members: DataFrame, dim: int, threshold: float) -> DataFra
             links[rows] += near @ weight[b]
             if not same:
                 links[b] += weight[rows] @ near
-        return pa.table({"id": ids, "links": links})
-
+            if joining:
+                i, j = np.nonzero(near)
+                keep = _forest(rows[i], b[j])
+                ends.append(np.stack([ids[rows[i[keep]]], ids[b[j[keep]]]]))
+        if not joining:
+            return pa.table({"id": ids, "links": links})
+        pairs = np.concatenate(ends, axis=1) if ends else np.zeros((2, 0), np.int64)
+        other = pa.array(np.append(np.zeros(len(ids), np.int64), pairs[1]), mask=np.arange(len(ids) + pairs.shape[1]) < len(ids))
+        return pa.table({"id": np.append(ids, pairs[0]), "links": np.append(links, np.zeros(pairs.shape[1], np.int64)), "other": other})
+
+    if joining:
+        return dealt.groupBy("root", "i", "j").applyInArrow(count, "id long, links long, other long")
     counted = dealt.groupBy("root", "i", "j").applyInArrow(count, "id long, links long")
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, dim: int, threshold: float) -> float:
-    """Recall of links: the AUDITED nodes with the least hashes are compared with all nodes."""
-    queries = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "unit").toArrow()
-    q_ids, q = queries["id"].to_numpy(), _matrix(queries["unit"], dim)
-    shared = nodes.sparkSession.sparkContext.broadcast((q_ids, q))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            for s in range(0, len(batch), 4096):
-                part = batch.slice(s, 4096)
-                near = q @ _matrix(part.column(2), dim).T >= threshold
-                near &= ids[:, None] != part.column(0).to_numpy()[None]
-                total += near @ part.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "true_links"])
-
-    true = nodes.select("id", "weight", "unit").mapInArrow(compare, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("true_links"))
-    both = true.join(counted, "id", "left").agg(F.sum("true_links").alias("t"), F.sum(F.least("true_links", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+def _all_pairs(nodes: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, root) and (id, links) of the linked nodes, exact: n * n / BLOCK rows are dealt."""
+    members = nodes.select("id", "weight", "unit", F.lit(0).cast("long").alias("root"))
+    found = materialise(_whole_components(members, dim, threshold, joining=True), "all-pairs")
+    roots = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "id")
+    return roots, found.groupBy("id").agg(F.sum("links").alias("links")).where("links > 0")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, n: int, dim: int, threshold: float) -> float:
+    """Recall of links: a hashed share of the nodes is compared with all nodes. Each linked query
+    counts once, by the share of its links that was found; the least mean is given, over all queries
+    and over the queries of each size of group (powers of two)."""
+    queries = nodes.where(F.pmod(F.xxhash64("id"), F.lit(max(1, min(AUDITED_ONE_IN, n // AUDITED)))) == 0).select("id", "unit")
+    parts = -(-n // (AUDITED_ONE_IN * AUDIT_BLOCK))
+    part = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(parts))
+    true: DataFrame | None = None
+    for p in range(parts):
+        block = queries.where(part == p).toArrow()
+        if not len(block):
+            continue
+        shared = nodes.sparkSession.sparkContext.broadcast((block["id"].to_numpy(), _matrix(block["unit"], dim)))
+
+        def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                for s in range(0, len(batch), 4096):
+                    some = batch.slice(s, 4096)
+                    near = q @ _matrix(some.column(2), dim).T >= threshold
+                    near &= ids[:, None] != some.column(0).to_numpy()[None]
+                    total += near @ some.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "true_links"])
+
+        own = nodes.select("id", "weight", "unit").mapInArrow(compare, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("true_links"))
+        own = materialise(own.where("true_links > 0"), "audited")
+        shared.destroy()
+        true = own if true is None else true.unionByName(own)
+    if true is None:
+        return 1.0
+    share = F.least("true_links", F.coalesce("links", F.lit(0))) / F.col("true_links")
+    means = true.join(counted, "id", "left").groupBy(F.floor(F.log2("true_links")).alias("size")).agg(F.avg(share).alias("mean"), F.count("*").alias("n")).collect()
+    if not means:
+        return 1.0
+    return min(*(r["mean"] for r in means), sum(r["mean"] * r["n"] for r in means) / sum(r["n"] for r in means))
 
 
 def _count_links(lists: DataFrame, nodes: DataFrame, dim: int, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -252,10 +311,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for dim, n in ((r["dim"], r["n"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own, k = nodes.where(F.col("dim") == dim), NEIGHBOURS
         lists = _cut_to(first_lists(own, n, dim, k).withColumn("is_new", F.lit(1)), k).checkpoint()
-        for _ in range(MAX_DOUBLINGS + 1):
+        for doublings in range(MAX_DOUBLINGS + 1):
             lists = _settle(lists, own, n, dim, k)
             roots, counted = _count_links(lists, own, dim, k, threshold)
-            if audit(own, counted, dim, threshold) >= TARGET_RECALL:
+            if audit(own, counted, n, dim, threshold) >= TARGET_RECALL:
+                break
+            if doublings == MAX_DOUBLINGS:
+                roots, counted = _all_pairs(own, dim, threshold)
                 break
             k *= 2
             lists = lists.withColumn("is_new", F.lit(1))

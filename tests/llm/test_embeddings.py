@@ -80,3 +80,26 @@ def test_odd_rows(spark, write, tmp_path):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(4, 3, False)]
     df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
     assert em.link(df.where("vec_id < 0")).count() == 0 and em.link(df.where("vec_id = 10")).count() == 1
+
+
+@pytest.mark.parametrize("doublings,half,block", [(0, 14, em.BLOCK), (0, 14, 8), (em.MAX_DOUBLINGS, 80, em.BLOCK)])
+def test_two_halves_that_fill_each_list(spark, write, tmp_path, monkeypatch, doublings, half, block):
+    monkeypatch.setattr(em, "MAX_DOUBLINGS", doublings)
+    monkeypatch.setattr(em, "BLOCK", block)
+    rng = np.random.default_rng(half)
+    first, off = np.eye(32)[:2]
+    second = 0.97 * first + np.sqrt(1 - 0.97**2) * off
+    vectors = [c + 0.003 * rng.standard_normal(32) for c in (first, second) for _ in range(half)] + [*rng.standard_normal((40, 32))]
+    rows = [(i, np.float32(v).tolist(), 0) for i, v in enumerate(vectors)]
+    write(rows, "embeddings", SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in em.op10_embeddings(spark, str(tmp_path)).collect()}
+    assert got == slow_links(rows) and got[0] == (2 * half - 1, 0)
+
+
+def test_audit_counts_each_query_once_and_each_size(spark):
+    """A group of many copies, counted exactly, must not hide that the small groups are missed."""
+    dim, unit = 60, np.eye(60)
+    vectors = [(2 * g + s, 500 if g == 0 else 1, (unit[2 * g] + 0.2 * s * unit[2 * g + 1])) for g in range(30) for s in (0, 1)]
+    nodes = spark.createDataFrame([(i, w, (v / np.linalg.norm(v)).tolist()) for i, w, v in vectors], "id long, weight long, unit array<double>")
+    counted = spark.createDataFrame([(0, 500), (1, 500)], "id long, links long")
+    assert em.audit(nodes, counted, len(vectors), dim, 0.95) < 0.1
