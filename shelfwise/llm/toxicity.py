@@ -235,7 +235,8 @@ def _counts(texts: DataFrame, wanted: set[str] | None, least: int) -> dict[str,
 
 def induce_terms(hit: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> list[Term]:
     """Words and stems that mark toxic documents. A stem counts if its documents spread over
-    several continuations; what a kept stem covers is left out."""
+    several continuations. Words that a kept stem covers stay beside it, as only words may be
+    misspelt, and do not count towards MAX_TERMS."""
     names = sorted(hit)
     odds, g = _log_odds(np.array([hit[f] for f in names], float), np.array([clean.get(f, 0) for f in names], float), n1, n0)
     strong = {f: float(o) for f, o, s in zip(names, odds, g, strict=True) if o >= MIN_LOG_ODDS and s >= MIN_G}
@@ -248,9 +249,13 @@ def induce_terms(hit: dict[str, int], clean: dict[str, int], n1: int, n0: int) -
                 longest[parent] = max(longest.get(parent, 0), hit[f])
     stems = {f[:-1] for f in strong if f.endswith("*") and longest.get(f[:-1], 0) < 0.9 * hit[f]}
     stems = {s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))}
-    words = [f for f in strong if not f.endswith("*") and not any(f[:k] in stems for k in STEMS)]
-    terms = [(s, True, strong[f"{s}*"]) for s in stems] + [(w, False, strong[w]) for w in words]
-    return sorted(terms, key=lambda t: (-t[2], t[0]))[:MAX_TERMS]
+    words = {f for f in strong if not f.endswith("*")}
+    covered = {w for w in words if any(w[:k] in stems for k in STEMS)}
+    terms = [(s, True, strong[f"{s}*"]) for s in stems] + [(w, False, strong[w]) for w in words - covered]
+    terms = sorted(terms, key=lambda t: (-t[2], t[0]))[:MAX_TERMS]
+    stems = {t for t, stem, _ in terms if stem}
+    terms += [(w, False, strong[w]) for w in covered if any(w[:k] in stems for k in STEMS)]
+    return sorted(terms, key=lambda t: (-t[2], t[0]))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -86,3 +86,13 @@ def test_few_or_no_labels(spark, write, odd_docs, labels, tmp_path):
     write(labels, "labels", "doc_id long, toxic int")
     got = tx.op6_toxicity(spark, str(tmp_path)).collect()
     assert len(got) == len(odd_docs) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_inflected_terms_may_be_misspelt():
+    toxic = {"idiot": 100, "idiots": 30, "idio*": 130, "idiot*": 30}
+    a = tx.LexiconAutomaton(tx.induce_terms(toxic, {"idio*": 1}, 1000, 2000))
+    assert ("idio", True) in {t[:2] for t in a.terms}
+    for word, edits in (("idiot", 0), ("idiotic", 0), ("idjot", 1), ("1diot", 1), ("ediot", 1), ("idjots", 1)):
+        found = a.match(word)
+        assert found and found[1] == edits, word
+    assert a.match("patriot") is None
