@@ -64,6 +64,9 @@ class LexiconAutomaton:
                 self.budget[node] = max(self.budget[node], edits)
             self.ends[node].append(k)
         self.alphabet = set(chain.from_iterable(self.children))
+        self._reset()
+
+    def _reset(self) -> None:
         self._ids: dict[tuple, int] = {}
         self._states: list[tuple] = []
         self._steps: dict[tuple[int, str], int] = {}
@@ -85,8 +88,6 @@ class LexiconAutomaton:
                     todo.append((child, False))
         key = tuple(sorted((n, p, e) for (n, p), e in reached.items()))
         if key not in self._ids:
-            if len(self._states) >= _CACHE:
-                raise OverflowError("too many automaton states")
             self._ids[key] = len(self._states)
             self._states.append(key)
         return self._ids[key]
@@ -109,6 +110,9 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """Best (term, edits): fewest edits, then the strongest term."""
+        # states are built anew once there are many; a word adds few, as it soon leaves the trie
+        if len(self._states) >= _CACHE or len(self._steps) >= 4 * _CACHE:
+            self._reset()
         state, steps = self.start, self._steps
         for c in word:
             c = c if c in self.alphabet else "\0"  # all foreign letters behave alike

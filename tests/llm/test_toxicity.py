@@ -96,3 +96,11 @@ def test_inflected_terms_may_be_misspelt():
         found = a.match(word)
         assert found and found[1] == edits, word
     assert a.match("patriot") is None
+
+
+def test_automaton_outlives_its_bound(monkeypatch):
+    monkeypatch.setattr(tx, "_CACHE", 8)
+    a, rng = tx.LexiconAutomaton(TERMS), random.Random(3)
+    words = ["".join(rng.choices("idotscumwrhle", k=rng.randint(1, 10))) for _ in range(400)] + ["worthles", "idi0t", "loweiab"] * 3
+    assert [a.match(w) for w in words] == [slow_match(w) for w in words]
+    assert len(a._states) < 40
