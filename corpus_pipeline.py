@@ -8,22 +8,22 @@ of the documents.
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import exact_dedup, langid, mixing, pieces, simhash
-from shelfwise.llm.common import materialise
+from shelfwise.llm.common import file_row, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no known language, go."""
-    return langid.keep_identified(docs)
+    return langid.keep_identified(docs, row=file_row(docs))
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    return exact_dedup.deduplicate(docs)
+    return exact_dedup.deduplicate(docs, row=file_row(docs))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked SimHash fingerprints stays."""
-    return simhash.keep_one_of_each(docs)
+    return simhash.keep_one_of_each(docs, row=file_row(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

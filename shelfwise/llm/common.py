@@ -1,9 +1,8 @@
 """What several corpus operators share: scratch tables, row ids and connected components."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds of star contraction before giving up; it needs about the logarithm of the diameter.
@@ -13,11 +12,10 @@ BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set (tests, one machine)."""
+    """The shared folder of the cluster, from ``spark.checkpoint.dir``; without it nothing is written."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -37,15 +35,32 @@ def broadcast_if_small(df: DataFrame, row_bytes, name: str, limit: int = BROADCA
     return F.broadcast(table) if (table.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else table
 
 
-def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
-    """A unique id per row, the same whenever the same files are scanned again.
+def file_row(scan: DataFrame) -> Column:
+    """A name for each row of a table read straight from Parquet files: its file and its place
+    there, so the same in every scan, however files are packed into tasks. Rows that a join or
+    an explode has repeated share their name: give those none (see ``packed``)."""
+    place = scan.metadataColumn("_metadata")
+    return F.struct(F.unhex(F.md5(place["file_path"])).alias("file"), place["row_index"].alias("at"))
 
-    Use it on tables that are read from files, not on results of a shuffle.
-    """
-    return df.withColumn(name, F.monotonically_increasing_id())
+
+def packed(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc, row): whole rows as structs, so that their columns clash with nothing, and a name for
+    each that every later scan agrees on. ``row`` is such a name, as ``file_row`` gives; without
+    it the rows are written once, together with an id drawn on the way."""
+    doc = F.struct("*").alias("doc")
+    if row is not None:
+        return docs.select(doc, row.alias("row"))
+    return materialise(docs.select(doc, F.monotonically_increasing_id().alias("row")), "rows")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of packed ``rows`` whose ``row`` is not among the dropped ones. They are not
+    shuffled if the names of the dropped are measured to be small enough for a broadcast."""
+    size = F.octet_length(F.to_json(F.struct("row")))
+    return rows.join(broadcast_if_small(dropped.select("row"), size, "dropped"), "row", "left_anti").select("doc.*")
 
 
-def least_row(doc_id: str = "doc_id", row: str = "__row"):
+def least_row(doc_id: str = "doc_id", row: str = "row"):
     """Sort key of the row that stays: smallest id, nulls last, then the first row."""
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
 
@@ -62,7 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
     stars = ends.distinct().checkpoint()
 
     def signature(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # sums of both halves of the hash: equal for two different states by chance only
+        h = F.xxhash64("u", "v")
+        return df.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)))).first()
 
     before = signature(stars)
     for _ in range(MAX_ROUNDS):

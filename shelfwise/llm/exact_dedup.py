@@ -2,8 +2,10 @@
 
 The index is a Parquet table bucketed and sorted by the SHA-256 of the normalised text. A batch
 is reduced to one row per digest, anti-joined with the index by sort-merge (the index side is
-not shuffled, as it is bucketed on the join key) and what is new is appended. Running a batch
-again appends nothing, so a job that failed can simply be repeated.
+not shuffled, as it is bucketed on the join key) and what is new is appended under the name of
+the batch. Digests that stand there under its own name are new to a batch, so a job that failed
+after the append is repeated under the same name and keeps the same rows. A load is dealt over
+several batches in the order of the ids, each of which meets the digests of those before it.
 """
 
 import uuid
@@ -11,10 +13,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import least_row, materialise, scratch_root, with_row_id
+from shelfwise.llm.common import file_row, least_row, materialise, packed, scratch_root, without
 
 #: Buckets of an index; one file each per batch. Size for 128 MB or more in each at full scale.
 BUCKETS = 64
+#: Batches that a load is dealt over.
+PARTS = 4
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -27,85 +31,109 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, with the id of the document that was kept for each."""
+    """Digests seen so far, the id of the document that was kept for each, and the batch it came in."""
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS):
         """Opens the index at a shared location, or creates it there."""
         self.spark, self.buckets = spark, buckets
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
+        quoted = location.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{quoted}'"
         )
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def new_digests(self, firsts: DataFrame) -> DataFrame:
-        """Rows (digest, keep_id) of a batch that the index does not hold, dealt like its buckets."""
-        dealt = firsts.select("digest", "keep_id").repartition(self.buckets, "digest")
-        return dealt.hint("merge").join(self.read(), "digest", "left_anti")
+    def new_digests(self, firsts: DataFrame, batch: str) -> DataFrame:
+        """Rows of a batch whose digest no other batch holds, dealt like the index's buckets."""
+        others = self.read().where(F.col("batch") != batch)
+        return firsts.repartition(self.buckets, "digest").hint("merge").join(others, "digest", "left_anti")
 
-    def append(self, firsts: DataFrame) -> None:
-        self.new_digests(firsts).sortWithinPartitions("digest").write.insertInto(self.table)
+    def append(self, new: DataFrame, batch: str) -> None:
+        """Add the batch's new digests, but for those that it has appended in an earlier attempt."""
+        own = self.read().where(F.col("batch") == batch)
+        rows = new.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
+        rows.hint("merge").join(own, "digest", "left_anti").sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def close(self) -> None:
+        """Forget the table's name in this session; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def firsts_of(digests: DataFrame) -> DataFrame:
-    """One row per digest: the least row and the group's size, by partial aggregates."""
-    groups = digests.groupBy("digest").agg(F.min(least_row()).alias("first"), F.count("*").alias("group_size"))
-    return groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
-
-
-def decide(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
-    """Append the batch to the index; returns its digests (doc_id, digest, row) and one row per
-    digest (digest, keep_id, keep_row, group_size), where keep_row is null if an earlier batch
-    already holds the text."""
-    digests = materialise(with_row_id(docs).select("doc_id", "__row", digest(F.col("text")).alias("digest")), "digests")
-    firsts = firsts_of(digests)
-    new = index.new_digests(firsts).select("digest", F.lit(True).alias("is_new"))
-    held = index.read().withColumnRenamed("keep_id", "held_id")
-    decided = (
-        firsts.join(new, "digest", "left").join(held, "digest", "left")
-        .select(
-            "digest", "group_size", F.when(F.col("is_new"), F.col("keep_id")).otherwise(F.col("held_id")).alias("keep_id"),
-            F.when(F.col("is_new"), F.col("keep_row")).alias("keep_row"),
-        )
-    )
-    decided = materialise(decided, "decided")
-    index.append(firsts)
-    return digests, decided
+    """One row per digest: its least row, by partial aggregates."""
+    groups = digests.groupBy("digest").agg(F.min(least_row()).alias("first"))
+    return groups.select("digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+
+
+def _part(digests: DataFrame, parts: int) -> Column:
+    """0 to parts - 1 by equal ranges of doc_id, in its order; null ids last. The same for the same rows."""
+    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return F.lit(parts - 1)
+    share = (F.col("doc_id").cast("double") - float(low)) / (float(high) - float(low) + 1)
+    return F.coalesce(F.least(F.floor(share * parts).cast("int"), F.lit(parts - 1)), F.lit(parts - 1))
+
+
+def decide(digests: DataFrame, index: DigestIndex, batch: str, parts: int) -> DataFrame:
+    """(digest, keep_id, keep_row) for each digest of the rows (doc_id, row, digest), which are
+    appended to the index; keep_row is null if an earlier batch holds the text."""
+    part, kept = _part(digests, parts), None
+    for p in range(parts):  # in the order of the ids, so the first to come has the smallest
+        name = f"{batch}/{p}"
+        new = materialise(index.new_digests(firsts_of(digests.where(part == p)), name), "new-digests")
+        index.append(new, name)
+        kept = new if kept is None else kept.unionByName(new)
+    held = digests.select("digest").distinct().join(index.read(), "digest").select("digest", "keep_id")
+    return held.join(kept.select("digest", "keep_row"), "digest", "left")
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    return materialise(rows.select("doc.doc_id", "row", digest(F.col("doc.text")).alias("digest")), "digests")
 
 
-def _fresh_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, f"{scratch_root(spark)}/digest-index-{uuid.uuid4().hex}")
+def _decided(digests: DataFrame, index: DigestIndex | None, batch: str | None, parts: int) -> DataFrame:
+    if (index is None) != (batch is None):
+        raise ValueError("an index needs the name of the batch, which a repeated job gives again")
+    spark = digests.sparkSession
+    used = index or DigestIndex(spark, f"{scratch_root(spark)}/digest-index-{uuid.uuid4().hex}")
+    out = materialise(decide(digests, used, batch or "load", parts), "decided")
+    if index is None:
+        used.close()
+    return out
 
 
-def group_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size (in this batch), kept, text_sha256.
+def group_report(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, parts: int = PARTS, row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size (among these rows), kept, text_sha256.
 
     Null texts count as empty. Of equal texts exactly one row stays: the smallest doc_id, null
-    ids last, and of rows with the same id the first. An empty table gives no rows; extra
-    columns are ignored.
+    ids last, and of rows with the same id the first in the order of ``row``. An empty table gives
+    no rows; extra columns are ignored. Without an index a new one is used.
     """
-    digests, decided = decide(docs, index or _fresh_index(docs.sparkSession))
+    digests = _digests(packed(docs, row))
+    sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
+    decided = _decided(digests, index, batch, parts).join(sizes, "digest")
     return digests.join(decided, "digest").select(
         "doc_id", "keep_id", "group_size",
-        F.coalesce(F.col("__row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"),
+        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"),
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, whole, with their own columns. ``docs`` must be read from files."""
-    _, decided = decide(docs, index or _fresh_index(docs.sparkSession))
-    keep = decided.select(F.col("digest").alias("__digest"), "keep_row")
-    # packed, so that no column of the documents can clash with the ones added here
-    rows = with_row_id(docs.select(F.struct("*").alias("doc"))).withColumn("__digest", digest(F.col("doc.text")))
-    return rows.join(keep, "__digest").where(F.col("__row") == F.col("keep_row")).select("doc.*")
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None, parts: int = PARTS, row: Column | None = None) -> DataFrame:
+    """The documents that stay, whole, with their own columns, whatever their names. Cases as in
+    ``group_report``; only digests are shuffled, and texts too if a great many rows go."""
+    rows = packed(docs, row)
+    digests = _digests(rows)
+    kept = _decided(digests, index, batch, parts).where("keep_row IS NOT NULL").select(F.col("keep_row").alias("row"))
+    return without(rows, digests.join(kept, "row", "left_anti"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return group_report(docs, row=file_row(docs))
 
 
 OP9_SQL = r"""WITH n AS (SELECT doc_id, sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

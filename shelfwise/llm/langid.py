@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import materialise, with_row_id
+from shelfwise.llm.common import materialise, packed, without
 
 #: Labelled documents of each language that the trigram model is fitted on: least hashes of the id.
 SAMPLE_PER_LANGUAGE = 1500
@@ -133,7 +133,9 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     corpus = F.array(*[F.lit(float(p)) for p in known], F.lit(UNKNOWN_PRIOR))
     domains = _shares(guessed, "domain", languages, corpus, None, None)
     hosts = _shares(guessed, "host", languages, F.col("domain_p"), domains, "domain")
-    out = guessed.join(hosts, "host", "left")
+    # rows without a host find nothing: a spread-out key keeps them from meeting in one task
+    key = F.coalesce("host", F.concat(F.lit("\0"), F.pmod(F.xxhash64("ll"), F.lit(1 << 16)).cast("string")))
+    out = guessed.withColumn("__host", key).join(hosts.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
     prior = F.coalesce("host_p", corpus)
     log_post = F.zip_with(prior, "ll", lambda p, x: F.log(F.greatest(p, F.lit(1e-12))) + TEMPER * x)
     seen = F.array(*[F.lit(s) for s in languages])
@@ -151,33 +153,44 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     return out.withColumns({"language": language, "posterior": 1 / weight})
 
 
-def accepted() -> Column:
-    """A text with letters, in a known language, with enough certainty."""
-    return (F.array_min("ll") < 0) & (F.col("language") != UNKNOWN) & (F.col("posterior") >= CERTAIN)
+def accepted(languages: list[str]) -> Column:
+    """A text with letters, in a known language, with enough certainty. Where no language is known
+    at all, as nothing was labelled, a text is not rejected for its language."""
+    known = (F.col("language") != UNKNOWN) & (F.col("posterior") >= CERTAIN)
+    return (F.array_min("ll") < 0) & (known if len(languages) > 1 else F.lit(True))
 
 
-def _document_evidence(docs: DataFrame) -> DataFrame:
+def _document_evidence(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    source = F.col("source").cast("string")
-    return docs.select("doc_id", "__row", "text", none.alias("declared"), none.alias("suffix"), source.alias("host"), source.alias("domain"))
+    source = F.col("doc.source").cast("string")
+    return rows.select("doc.doc_id", "row", "doc.text", none.alias("declared"), none.alias("suffix"), source.alias("host"), source.alias("domain"))
+
+
+def _identified(rows: DataFrame, model: TrigramModel) -> DataFrame:
+    """doc_id, row, language, posterior, kept of packed documents."""
+    scored = materialise(text_scores(_document_evidence(rows), model), "langid")
+    return fuse(scored, model.languages).select("doc_id", "row", "language", "posterior", accepted(model.languages).alias("kept"))
 
 
 def identify(docs: DataFrame, model: TrigramModel) -> DataFrame:
-    """doc_id, __row, language, posterior, kept for documents; their source stands for the host.
+    """doc_id, language, posterior, kept for each document; its source stands for the host.
 
-    Null, empty and letterless texts are not kept. Null sources take the corpus prior.
+    Null, empty and letterless texts are not kept. Null sources take the corpus prior. Repeated
+    rows count as often as they occur; an empty table gives no rows; extra columns are ignored.
     """
-    scored = materialise(text_scores(_document_evidence(with_row_id(docs.select("doc_id", "text", "source"))), model), "langid")
-    return fuse(scored, model.languages).select("doc_id", "__row", "language", "posterior", accepted().alias("kept"))
+    return _identified(docs.select(F.struct("*").alias("doc"), F.lit(0).alias("row")), model).drop("row")
+
 
+def keep_identified(docs: DataFrame, model: TrigramModel | None = None, row: Column | None = None) -> DataFrame:
+    """The whole documents whose language is known, with their own columns, whatever their names.
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The whole documents whose language is known. ``docs`` must be read from files."""
-    if docs.isEmpty():
-        return docs
-    kept = identify(docs, fit(docs)).where("kept").select("__row")
-    packed = with_row_id(docs.select(F.struct("*").alias("doc")))
-    return packed.join(kept, "__row", "left_semi").select("doc.*")
+    Null, empty and letterless texts go. Without a model one is fitted on the labelled rows; if
+    there are none, no language is known and only letterless texts go. Repeated rows stay or go
+    together; an empty table stays empty. ``row`` as in ``packed``.
+    """
+    rows = packed(docs, row)
+    found = _identified(rows, model or fit(rows.select("doc.doc_id", "doc.text", "doc.lang")))
+    return without(rows, found.where("NOT kept"))
 
 
 def page_evidence(pages: DataFrame, languages: list[str]) -> DataFrame:
@@ -195,9 +208,13 @@ def page_evidence(pages: DataFrame, languages: list[str]) -> DataFrame:
 
 
 def identify_pages(pages: DataFrame, model: TrigramModel) -> DataFrame:
-    """page_id, language, posterior, kept from all four kinds of evidence."""
+    """page_id, language, posterior, kept from all four kinds of evidence.
+
+    Null html is a text without letters, a null or odd url one without host. Repeated rows are
+    pages like any other; an empty table gives no rows; extra columns are ignored.
+    """
     scored = materialise(text_scores(page_evidence(pages, model.languages[:-1]), model), "langid")
-    return fuse(scored, model.languages).select("page_id", "language", "posterior", accepted().alias("kept"))
+    return fuse(scored, model.languages).select("page_id", "language", "posterior", accepted(model.languages).alias("kept"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 import shelfwise
 from shelfwise.llm import embeddings, exact_dedup, langid, mixing, pages, pieces, sharding, simhash, token_counts, toxicity
 
@@ -36,6 +35,8 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline  # it imports this package in turn
+
     found = {
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,

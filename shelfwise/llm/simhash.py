@@ -5,10 +5,17 @@ own threshold T (-1: not probed) so that the thresholds plus one sum to radius p
 fingerprints within the radius then differ by at most T bits in some group. Dynamic programming
 picks the thresholds with the fewest estimated candidates. Fingerprints are indexed by each
 group's value, probed over the ball of that radius, and every candidate is verified.
+
+Texts whose shingle sets are similar to 0.8 have fingerprints up to some 16 bits apart, and balls
+of that radius hold a share of all pairs that no partition makes small. For such copies
+(``keep_one_of_each``) groups of fingerprints within the radius are one kind of bucket among
+others, made of bands of minimal shingle hashes; inside a bucket the distance of fingerprints sorts
+out most pairs, and the similarity of the shingle sets decides.
 """
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,39 +25,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import components, least_row, materialise, with_row_id
+from shelfwise.llm.common import broadcast_if_small, components, materialise, packed, without
 
 RADIUS, SHINGLE, SEED, BITS = 3, 3, 42, 64
+#: Shingles and similarity of near copies.
+WORDS, SIMILARITY = 5, 0.8
+#: Bands of minimal hashes: two sets of similarity 0.8 share at least one with a probability of 0.9998.
+BANDS, BAND = 12, 3
+#: Pairs of similarity 0.8 are no further apart, and agree in no fewer minima, but for about one in 100,000.
+FAR, AGREE = 24, 18
+#: Units of a bucket compared in one task; a unit counts once more for each LONG shingles.
+BLOCK, LONG = 512, 4096
 #: Groups of bits. Of at most 16 bits each, so that the counts of their values are bounded.
 GROUPS = 4
 #: A group value with more fingerprints than this is dealt over several tasks.
 HOT = 4096
 _CHUNK = 1 << 15
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = np.zeros(0, np.uint64)
+_SKETCH = "fp long, same binary, bands array<long>, minima array<int>, shingles array<int>"
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """64 bits: a bit is 1 if it is set in over half the shingle hashes, repeats included.
-
-    Null or blank: 0. Fewer words than a shingle: the whole sequence is the one shingle.
-    """
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, repeats included, in chunks. Fewer words than a shingle: the whole
+    sequence is the one shingle; null or blank: none."""
     # bytes.lower() and bytes.split() know ASCII only, as the definition asks
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     hashed = xxhash.xxh64_intdigest
-    ones, n = np.zeros(BITS, np.int64), max(1, len(w) - words + 1)
-    for start in range(0, n, _CHUNK):  # bounded memory for very long texts
+    for start in range(0, max(1, len(w) - words + 1), _CHUNK):  # bounded memory for very long texts
         part = w[start : start + _CHUNK + words - 1]
-        if len(part) < words:
-            h = [hashed(b" ".join(part), SEED)]
-        elif words == 3:
-            h = [hashed(b"%b %b %b" % t, SEED) for t in zip(part, part[1:], part[2:], strict=False)]
-        else:
-            h = [hashed(b" ".join(part[i : i + words]), SEED) for i in range(len(part) - words + 1)]
-        ones += np.unpackbits(np.array(h, ">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        n = max(1, len(part) - words + 1)
+        yield np.array([hashed(s, SEED) for s in map(b" ".join, zip(*(part[i : i + n] for i in range(min(words, len(part)))), strict=False))], np.uint64)
+
+
+def _majority(chunks: Sequence[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half the hashes; no hashes: 0."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in chunks:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """64 bits from the shingle hashes; null or blank: 0."""
+    return _majority(list(shingle_hashes(text, words)))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
@@ -200,15 +223,139 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One whole document of each group: the smallest id, null ids last. Read ``docs`` from files."""
-    columns = docs.columns
-    rows = with_row_id(docs)
-    prints = materialise(rows.select("doc_id", "__row", fingerprint_udf("text").alias("fp")), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(least_row()).alias("least"))
-    kept = least.join(group_prints(prints, radius), "fp").groupBy("root").agg(F.min("least").alias("least"))
-    keep = kept.select(F.col("least.row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*columns)
+class Sketch(NamedTuple):
+    """Of the set of a text's shingles: fingerprint, name of the whole set, bucket keys, minimal
+    hashes, and the set itself as sorted 32-bit hashes (two of n shingles share one with a
+    probability of n^2 / 2^33, so the similarity is exact but for about one shingle of a long text)."""
+
+    fp: int
+    same: bytes
+    bands: np.ndarray
+    minima: np.ndarray
+    shingles: np.ndarray
+
+
+def sketch(text: str | None, words: int) -> Sketch:
+    chunks = list(shingle_hashes(text, words))
+    h = np.unique(np.concatenate([*chunks, np.zeros(0, np.uint64)]))
+    minima = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for start in range(0, len(h), _CHUNK):
+        minima = np.minimum(minima, (h[None, start : start + _CHUNK] * _FACTORS[:, None]).min(1))
+    bands = [xxhash.xxh64_intdigest(minima[k : k + BAND].tobytes(), k) for k in range(0, len(minima), BAND)]
+    low = (minima >> np.uint64(32)).astype(np.uint32)
+    return Sketch(_majority(chunks), xxhash.xxh3_128_digest(h.tobytes()), np.array(bands, np.uint64), low, np.unique((h >> np.uint64(32)).astype(np.uint32)))
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                made = [sketch(t, words) for t in part.column(2).to_pylist()]
+                columns = [
+                    pa.array(np.array([k.fp for k in made], np.uint64).view(np.int64)), pa.array([k.same for k in made], pa.binary()),
+                    pa.array([k.bands.view(np.int64) for k in made], pa.list_(pa.int64())), pa.array([k.minima.view(np.int32) for k in made], pa.list_(pa.int32())),
+                    pa.array([k.shingles.view(np.int32) for k in made], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["doc_id", "row", *Sketch._fields])
+
+    return run
+
+
+def joining_links(sketches: Sequence[Sketch], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs of left and right that are similar enough and join all that such pairs join.
+
+    Pairs that others have joined already are passed over, so a dense group costs about one
+    comparison of sets a member.
+    """
+    fp = np.array([k.fp for k in sketches], np.uint64)  # signed numbers would be counted by their absolute value
+    minima = np.stack([k.minima for k in sketches])
+    label, out = np.arange(len(sketches)), []
+    for i in left.tolist():
+        others = right[label[right] != label[i]]
+        others = others[np.bitwise_count(fp[others] ^ fp[i]) <= FAR]
+        agree = (minima[others] == minima[i]).sum(1)
+        for j in others[agree >= AGREE][np.argsort(-agree[agree >= AGREE], kind="stable")].tolist():
+            if label[i] == label[j]:
+                continue
+            a, b = sketches[i].shingles, sketches[j].shingles
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if common >= similarity * (len(a) + len(b) - common):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _compare(similarity: float):
+    def run(bucket: pa.Table) -> pa.Table:
+        bucket = bucket.sort_by([("key", "ascending"), ("unit", "ascending")])
+        key, unit, is_i = (bucket[c].to_numpy(zero_copy_only=False) for c in ("key", "unit", "is_i"))
+        rows = zip(bucket["fp"].to_numpy().view(np.uint64), *(bucket[c] for c in ("minima", "shingles")), strict=True)
+        made = [Sketch(f, b"", _NONE, m.values.to_numpy(), s.values.to_numpy()) for f, m, s in rows]
+        across = bucket["i"][0].as_py() != bucket["j"][0].as_py()
+        found: list[tuple[int, int]] = []
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+            at = np.arange(e - s)
+            sides = (at[is_i[s:e]], at[~is_i[s:e]]) if across else (at, at)
+            found += [(s + i, s + j) for i, j in joining_links(made[s:e], *sides, similarity)]
+        a, b = np.array(found, int).reshape(-1, 2).T
+        return pa.table({"a": unit[a], "b": unit[b]})
+
+    return run
+
+
+def similar_units(units: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that join the units similar enough. Units (unit, row, fp, bands, n): one per distinct
+    shingle set, n of them shingles; sketches hold the minima and shingles of each row.
+
+    Units meet in buckets: those whose fingerprints reach each other by links, and those that
+    share a band. A large bucket is compared in pairs of parts of bounded size, a task each.
+    """
+    linked = group_prints(units).select(F.col("fp").alias("print"), F.xxhash64("root", F.lit(SEED)).alias("key"))
+    slim = ("key", "unit", "row", "n")
+    by_band = units.withColumn("key", F.explode("bands")).select(*slim)
+    keys = by_band.unionByName(units.join(linked, F.col("fp") == F.col("print")).select(*slim))
+    weight = 1 + F.floor(F.col("n") / LONG)
+    shared = keys.groupBy("key").agg(F.count("*").alias("units"), F.sum(weight).alias("m")).where("units > 1").select("key", "m")
+    met = materialise(keys.join(shared, "key"), "buckets")
+    wanted = broadcast_if_small(met.select("unit", "row").distinct(), F.lit(64), "met")
+    whole = sketches.select("row", "fp", "minima", "shingles").join(wanted, "row").select("unit", "fp", "minima", "shingles")
+    total = met.agg(F.sum(weight)).first()[0] or 0
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    part = F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")
+    cut = met.select("key", "unit", parts.alias("parts")).withColumn("part", part)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # buckets of one part share tasks
+    task = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BLOCK)))))
+    dealt = cut.select(
+        "key", "unit", (F.col("parts") > 1).alias("large"), task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        (F.col("part") <= F.col("other")).alias("is_i"),
+    ).join(whole, "unit")
+    return dealt.groupBy("large", "task", "i", "j").applyInArrow(_compare(similarity), "a long, b long").distinct()
+
+
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, row: Column | None = None) -> DataFrame:
+    """The whole documents without near copies: of those that reach each other by links (Jaccard
+    similarity of the sets of lower-cased word shingles at or above the bound) the one with the
+    smallest id stays, null ids last, then the first in the order of ``row`` (see ``packed``).
+
+    Texts of fewer words are one shingle; null and blank texts have none and are copies of each
+    other. Columns keep their names and values, whatever they are called; an empty table stays empty.
+    """
+    rows = packed(docs, row)
+    schema = T.StructType([*rows.select("doc.doc_id", "row").schema.fields, *T.StructType.fromDDL(_SKETCH).fields])
+    sketches = materialise(rows.select("doc.doc_id", "row", "doc.text").mapInArrow(_sketches(words), schema), "sketches")
+    # one unit for each set of shingles: copies are told by the name of their set
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row", "fp", "bands", F.size("shingles").alias("n")))
+    units = sketches.groupBy("same").agg(first.alias("first")).select("first.*", F.monotonically_increasing_id().alias("unit"))
+    units = materialise(units, "units")
+    roots = components(similar_units(units, sketches, similarity))
+    groups = units.join(roots, F.col("unit") == F.col("node"), "left").groupBy(F.coalesce("root", "unit")).agg(F.min(F.struct("no_id", "id", "row")).alias("first"))
+    kept = materialise(groups.select("first.row"), "kept")
+    return without(rows, sketches.select("row").join(kept, "row", "left_anti"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 from compare import assert_same
 from shelfwise.llm import exact_dedup as ed
 
@@ -36,16 +38,46 @@ def test_kept_documents_are_whole(spark, write, odd_docs):
 def test_index_persists_over_batches(spark, write, tmp_path):
     folder = write([(i, f"text {i % 5}", "en", "s", 1) for i in range(10)])
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    index = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
-    assert ed.deduplicate(docs, index).count() == 5
-    assert ed.deduplicate(docs, index).count() == 0  # a repeated batch adds nothing
+    index = ed.DigestIndex(spark, str(tmp_path / "in'dex"), buckets=4)
+    assert sorted(r.doc_id for r in ed.deduplicate(docs, index, "monday").collect()) == [0, 1, 2, 3, 4]
+    # the same batch again, as after a failure past the append, keeps the same rows and adds nothing
+    assert sorted(r.doc_id for r in ed.deduplicate(docs, index, "monday").collect()) == [0, 1, 2, 3, 4]
     assert index.read().count() == 5
+    assert ed.deduplicate(docs, index, "tuesday").count() == 0  # another batch with the same texts
     folder2 = write([(0, "text 3", "en", "s", 1), (77, "new", "en", "s", 1)], name="more")
-    report = ed.group_report(spark.read.parquet(f"{folder2}/more.parquet"), index).collect()
+    report = ed.group_report(spark.read.parquet(f"{folder2}/more.parquet"), index, "wednesday").collect()
     assert {(r.doc_id, r.keep_id, r.kept) for r in report} == {(0, 3, False), (77, 77, True)}
-    again = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
-    plan = again.new_digests(docs.selectExpr("text AS digest", "doc_id AS keep_id"))._jdf.queryExecution().executedPlan().toString()
+    again = ed.DigestIndex(spark, str(tmp_path / "in'dex"), buckets=4)
+    plan = again.new_digests(docs.selectExpr("text AS digest", "doc_id AS keep_id"), "x")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # the index side stays in place
+    with pytest.raises(ValueError):
+        ed.deduplicate(docs, index)
+
+
+def test_failure_half_way_through_the_append(spark, write, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{write([(i, f'text {i % 5}', 'en', 's', 1) for i in range(10)])}/documents.parquet")
+    index = ed.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    put, calls = ed.DigestIndex.append, []
+
+    def failing(self, new, batch):
+        put(self, new.limit(1), batch)  # part of it gets there, then the job dies
+        calls.append(batch)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ed.DigestIndex, "append", failing)
+    with pytest.raises(RuntimeError):
+        ed.deduplicate(docs, index, "b")
+    monkeypatch.setattr(ed.DigestIndex, "append", put)
+    assert calls and index.read().count() == 1
+    assert sorted(r.doc_id for r in ed.deduplicate(docs, index, "b").collect()) == [0, 1, 2, 3, 4]
+    assert index.read().count() == index.read().select("digest").distinct().count() == 5
+
+
+def test_later_batches_meet_earlier_digests(spark, write):
+    rows = [(i, f"text {i % 7}", "en", "s", 1) for i in range(40)] + [(None, "text 3", "en", "s", 1), (None, "only", "en", "s", 1), (-5, "text 6", "en", "s", 1)]
+    docs = spark.read.parquet(f"{write(rows)}/documents.parquet")
+    reports = [sorted(map(str, ed.group_report(docs, parts=parts).collect())) for parts in (1, 4, 9)]
+    assert reports[0] == reports[1] == reports[2] and len(reports[0]) == len(rows)
 
 
 def test_extra_columns(spark, write):

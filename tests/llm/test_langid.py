@@ -92,4 +92,7 @@ def test_odd_rows(spark, sf_dir, write, odd_docs):
     kept = li.keep_identified(docs)
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
     assert li.keep_identified(docs.where("doc_id < 0")).count() == 0
+    # without a single label no language is known: only texts without letters go
+    unlabelled = docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    assert sorted(r.doc_id or 0 for r in li.keep_identified(unlabelled).collect()) == [0, 1, 2, 3, 7, 8, 9, 9, 10, 11]
     assert model.languages[int(np.argmax(model.score("日本語のテキスト"))) ] == li.UNKNOWN

@@ -7,7 +7,7 @@ import corpus_pipeline
 from shelfwise.llm import langid
 from shelfwise.llm.pieces import model_path
 from test_exact_dedup import norm
-from test_simhash import slow_components, slow_fingerprint
+from test_simhash import slow_near_copies
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -19,8 +19,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     first = {}
     for i in sorted(kept):
         first.setdefault(norm(kept[i].text), i)
-    prints = {i: slow_fingerprint(kept[i].text) for i in first.values()}
-    stay = {i for i, c in slow_components(prints).items() if i == c}
+    stay = {i for i, c in slow_near_copies({i: kept[i].text for i in first.values()}).items() if i == c}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert set(got) == stay
     m = sentencepiece.SentencePieceProcessor(model_file=model_path())

@@ -96,7 +96,65 @@ def test_odd_rows(spark, write, odd_docs):
     for r in odd_docs:
         assert any(g.doc_id == r[0] and g.fingerprint == f"{slow_fingerprint(r[1]):016x}" for g in got)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert sh.near_duplicates(docs.where("doc_id < 0")).count() == 0
     kept = sh.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len({g.component_id for g in got})
-    assert sh.near_duplicates(docs.where("doc_id < 0")).count() == 0
+    # 1, 2 and 3 are the same words; null, empty and blank are one group; 7 and 8 have 3 of 4 shingles in common
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 7, 8, 9, 11]
+    assert sh.keep_one_of_each(docs.where("doc_id < 0")).count() == 0
+
+
+def shingle_set(text, words=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return frozenset(b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def slow_near_copies(texts, similarity=0.8):
+    """{id: smallest id reachable by pairs of at least this similarity}, all pairs that share a shingle compared."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    root, holders = {i: i for i in sets}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in sets.items():
+        for g in s or {None}:
+            holders.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        for j in {j for g in s or {None} for j in holders[g] if j < i}:
+            if s == sets[j] or len(s & sets[j]) >= similarity * len(s | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_copies_against_all_pairs(spark, monkeypatch, block):
+    """Chains, a large dense group, a passage that unrelated texts share, and copies at the bound."""
+    monkeypatch.setattr(sh, "BLOCK", block)  # 8: the large groups are compared in pairs of parts
+    rng = random.Random(block)
+    word = lambda: f"v{rng.randrange(3000)}"
+    texts = [[word() for _ in range(rng.randint(1, 120))] for _ in range(150)]
+    out = [" ".join(t) for t in texts]
+    out += [edited(rng, t, rng.randint(0, 4)) for t in texts if len(t) > 20 for _ in range(2)]
+    dense = [word() for _ in range(150)]
+    out += [edited(rng, dense, 2) for _ in range(80)]
+    passage = " ".join(word() for _ in range(60))
+    out += [f"{passage} {' '.join(word() for _ in range(50))}" for _ in range(60)]
+    chain = [word() for _ in range(100)]
+    for _ in range(20):
+        chain = edited(rng, chain, 1).split()
+        out.append(" ".join(chain))
+    want = slow_near_copies(dict(enumerate(out)))
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    got = {r.doc_id for r in sh.keep_one_of_each(docs).collect()}
+    assert got == {i for i, r in want.items() if i == r}
