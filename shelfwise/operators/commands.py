@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 from shelfwise.functions import (
     FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty, parse_int,
 )
-from shelfwise.operators.numbering import least_of_key, running
+from shelfwise.operators.numbering import least_of_key, position_bucket, running
 
 ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
-#: Consecutive sequence numbers of a session that one task scans.
-_SEQ_PER_BUCKET = 1_000_000
 #: Commands of a session that one task replays; if any session has more, sessions are split.
 _ROWS_PER_TASK = 5_000_000
 
@@ -25,6 +23,11 @@ def _has_hot_session(commands: DataFrame) -> bool:
     return not commands.groupBy("session_id").count().where(F.col("count") > _ROWS_PER_TASK).isEmpty()
 
 
+def _bucket(rows: DataFrame, order: str, split: bool):
+    bucket = position_bucket(rows, order) if split else None
+    return F.lit(0) if bucket is None else bucket
+
+
 def _with_state(commands: DataFrame, split: bool) -> DataFrame:
     """Effective commands, the exit included, with ``s_last`` (seq of the last sort before it)
     and ``n_before`` (records in the list before it)."""
@@ -34,7 +37,7 @@ def _with_state(commands: DataFrame, split: bool) -> DataFrame:
     ended = least_of_key(live, ["session_id"], "first_exit", F.when(F.col("choice") == EXIT, F.col("seq")), split)
     before_exit = ended.where(F.col("first_exit").isNull() | (F.col("seq") <= F.col("first_exit"))).drop("first_exit")
     state = running(
-        before_exit, ["session_id"], F.floor(F.col("seq") / _SEQ_PER_BUCKET), ["seq"],
+        before_exit, ["session_id"], _bucket(before_exit, "seq", split), ["seq"],
         {"s_last": ("max", F.when(F.col("choice") == SORT, F.col("seq"))), "n_before": ("count", F.when(F.col("choice") == ADD, 1))}, split,
     )
     # an empty term is asked for again, but an empty list answers before any term
@@ -65,7 +68,7 @@ def _answers(state: DataFrame, split: bool) -> DataFrame:
     by_entry = F.struct(F.col("seq").alias("add_seq"), "duration", "host")
     key = ["session_id", "title"]
     measures = {"sorted": ("min", F.when(is_add, by_sort))}
-    sorted_in = running(asked, key, F.floor(F.col("at") / _SEQ_PER_BUCKET), ["at", "choice"], measures, split)
+    sorted_in = running(asked, key, _bucket(asked, "at", split), ["at", "choice"], measures, split)
     found = least_of_key(sorted_in, key, "entered", F.when(is_add, by_entry), split)
     late = F.when(F.col("entered.add_seq") < F.col("seq"), F.struct("entered.duration", "entered.add_seq", "entered.host"))
     return found.where(F.col("choice") == SEARCH).withColumn("hit", F.coalesce("sorted", late))

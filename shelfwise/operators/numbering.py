@@ -1,12 +1,34 @@
 """Gapless ordinals and running aggregates without sending a table, or a hot key, through one task."""
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Consecutive positions that one numbering task takes.
-POSITIONS_PER_BUCKET = 1_000_000
+#: Rows that one numbering task takes, about.
+ROWS_PER_BUCKET = 1_000_000
+#: Ranges that quantiles cut the positions into, and the most buckets, as their counts meet in one task.
+RANGES, MAX_BUCKETS = 64, 1 << 20
+
+
+def position_bucket(df: DataFrame, pos: str) -> Column | None:
+    """A number that grows with ``pos``, for buckets of about ROWS_PER_BUCKET rows; None if one task
+    can take them all. Reads the column twice.
+
+    Ranges between approximate quantiles hold about equal shares of the rows, however sparse or
+    uneven the positions are, and each is cut evenly, so the number of buckets follows the rows.
+    """
+    n, low, high = df.agg(F.count("*"), F.min(pos), F.max(pos)).first()
+    if n <= ROWS_PER_BUCKET or low is None:
+        return None
+    cuts = df.agg(F.percentile_approx(pos, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
+    edges = sorted({low, *cuts})
+    per = min(math.ceil(n / (ROWS_PER_BUCKET * len(edges))), MAX_BUCKETS // RANGES)
+    at = sum(((F.col(pos) >= F.lit(e)).cast("int") for e in edges[1:]), F.when(F.col(pos).isNotNull(), 0))
+    start, end = (F.element_at(F.array(*map(F.lit, map(float, x))), at + 1) for x in (edges, [*edges[1:], high + 1]))
+    inside = F.floor((F.col(pos).cast("double") - start) / (end - start) * per)
+    return at * per + F.least(inside, F.lit(per - 1))
 
 
 def number_rows(df: DataFrame, buckets: Sequence[Column], order: Sequence[str], name: str) -> DataFrame:
@@ -14,7 +36,10 @@ def number_rows(df: DataFrame, buckets: Sequence[Column], order: Sequence[str],
 
     The buckets must be a prefix of the order. Only the row count of each bucket meets in one
     partition, to become an offset; rows are numbered inside their bucket and the offset is added.
+    Without buckets all rows are numbered in one task.
     """
+    if not buckets:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
     keys = [f"__b{i}" for i in range(len(buckets))]
     keyed = df.withColumns(dict(zip(keys, buckets, strict=True)))
     before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
@@ -34,17 +59,15 @@ def number_rows(df: DataFrame, buckets: Sequence[Column], order: Sequence[str],
     )
 
 
-def position_bucket(pos: str) -> Column:
-    return F.floor(F.col(pos) / POSITIONS_PER_BUCKET)
-
-
 def by_position(df: DataFrame, pos: str, name: str) -> DataFrame:
-    return number_rows(df, [position_bucket(pos)], [pos], name)
+    bucket = position_bucket(df, pos)
+    return number_rows(df, [] if bucket is None else [bucket], [pos], name)
 
 
 def by_duration(df: DataFrame, name: str) -> DataFrame:
     """Ordinal by (duration, pos). A hot duration is cut further by position."""
-    return number_rows(df, [F.col("duration"), position_bucket("pos")], ["pos"], name)
+    bucket = position_bucket(df, "pos")
+    return number_rows(df, [] if bucket is None else [F.col("duration"), bucket], ["duration", "pos"], name)
 
 
 #: How a running measure is summed up over a bucket, and how two stretches of it combine.

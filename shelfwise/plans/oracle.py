@@ -67,10 +67,11 @@ FROM probe LEFT JOIN hit ON term = title AND rn = 1""",
         "sort_by_duration": f"WITH {_CAT} SELECT * FROM cat ORDER BY duration, pos",
         "resequence_by_duration": f"WITH {_RESEQ} SELECT * FROM moved",
         "title_lookup_after_sort": f"WITH {_RESEQ} SELECT * FROM moved WHERE title = 'red widget' ORDER BY pos LIMIT 1",
-        "apply_corrections": f"""WITH {_CAT} SELECT pos, CASE WHEN pos % 17 = 0 THEN '' ELSE title END AS title, host,
+        "apply_corrections": f"""WITH {_CAT} SELECT pos, CASE WHEN pos % 17 = 0 THEN '' ELSE title END AS title,
+CASE WHEN pos % 17 = 2 THEN 'guest of ' || host WHEN pos % 17 = 3 THEN '' ELSE host END AS host,
 CAST(CASE WHEN pos % 17 = 1 THEN 5000 ELSE duration END AS INTEGER) AS duration FROM cat""",
-        "record_defaults": """SELECT p_partkey AS pos, '' AS title, '' AS host, CAST(CASE WHEN p_partkey % 17 = 1 THEN 5000 ELSE 0 END AS INTEGER) AS duration
-FROM part WHERE p_partkey % 17 IN (0, 1)""",
+        "record_defaults": f"""WITH {_CAT} SELECT pos, CASE WHEN pos % 5 = 0 THEN '' ELSE title END AS title,
+CASE WHEN pos % 7 = 0 THEN '' ELSE host END AS host, CASE WHEN pos % 4 = 0 THEN 0 ELSE duration END AS duration FROM cat""",
         "commands_effective": f"WITH {_STATE} SELECT session_id, seq, choice, title, host, duration FROM state WHERE choice <> 5",
         "replay_search": f"WITH {_STATE}, {_SEARCH} SELECT session_id, seq, term, outcome, host, duration FROM answers",
         "replay_view": f"""WITH {_STATE} SELECT c.session_id, c.seq,

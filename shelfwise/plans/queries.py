@@ -45,13 +45,6 @@ def title_lookup_line(spark, d):
     return hit.select("pos", found_line(F.col("title"), F.col("host"), F.col("duration")).alias("line"))
 
 
-def record_defaults(spark, d):
-    """Corrections carry nulls; as records of their own they take the defaults."""
-    fixes = src.corrections(spark, d)
-    renamed = fixes.select("pos", *[F.col(f"new_{c}").alias(c) for c in ("title", "host", "duration")])
-    return cat.fill_defaults(renamed)
-
-
 def queries() -> dict[str, Query]:
     return {
         "parse_int": parse_int_query,
@@ -72,7 +65,7 @@ def queries() -> dict[str, Query]:
         "resequence_by_duration": lambda s, d: cat.resequence_by_duration(src.catalogue(s, d)),
         "title_lookup_after_sort": lambda s, d: cat.find_title(cat.resequence_by_duration(src.catalogue(s, d)), TERM),
         "apply_corrections": lambda s, d: cat.correct(src.catalogue(s, d), src.corrections(s, d)),
-        "record_defaults": record_defaults,
+        "record_defaults": lambda s, d: cat.fill_defaults(src.incomplete_records(s, d)),
         "commands_effective": lambda s, d: cmd.effective(src.commands(s, d)),
         "replay_search": lambda s, d: cmd.replay_search(src.commands(s, d)),
         "replay_view": lambda s, d: cmd.replay_view(src.commands(s, d)),

@@ -56,9 +56,18 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.col("p_partkey")
-    return read_table(spark, sf_dir, "part").where((pos % 17).isin(0, 1)).select(
+    return read_table(spark, sf_dir, "part").where((pos % 17).isin(0, 1, 2, 3)).select(
         pos.alias("pos"), F.when(pos % 17 == 0, "").alias("new_title"),
-        F.lit(None).cast("string").alias("new_host"), F.when(pos % 17 == 1, 5000).alias("new_duration"),
+        F.when(pos % 17 == 2, F.concat(F.lit("guest of "), F.col("p_brand"))).when(pos % 17 == 3, "").alias("new_host"), F.when(pos % 17 == 1, 5000).alias("new_duration"),
+    )
+
+
+def incomplete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with some of each field missing, alone and together."""
+    pos = F.col("pos")
+    return catalogue(spark, sf_dir).select(
+        "pos", F.when(pos % 5 != 0, F.col("title")).alias("title"), F.when(pos % 7 != 0, F.col("host")).alias("host"),
+        F.when(pos % 4 != 0, F.col("duration")).alias("duration"),
     )
 
 

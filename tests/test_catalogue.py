@@ -3,7 +3,7 @@ import pytest
 from shelfwise import schemas
 from shelfwise.operators import catalogue as cat
 from shelfwise.operators import intake
-from shelfwise.operators.numbering import by_duration, by_position
+from shelfwise.operators.numbering import by_duration, by_position, position_bucket
 
 STATUS = {
     "12": ("ok", 12), "  12": ("ok", 12), "\t\x0b\f\r12": ("ok", 12), "12abc": ("ok", 12), "12 99": ("ok", 12),
@@ -63,18 +63,38 @@ def test_batch_search_outcomes(spark):
     assert [r.outcome for r in cat.find_titles(items.limit(0), probes).collect()] == ["empty"] * 4
 
 
-@pytest.mark.parametrize("number", [by_duration, lambda df, name: by_position(df, "pos", name)])
-def test_two_level_ordinals(spark, number):
-    rows = [(i * 700_001, "t", "h", (i * 7919) % 11) for i in range(200)]
-    got = {r.pos: r.n for r in number(_catalogue(spark, rows), "n").collect()}
-    by_dur = number is by_duration
+def _positions(kind):
+    if kind == "even":
+        return [i * 700_001 for i in range(400)]
+    if kind == "sparse":  # as hashes are
+        return [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(400)]
+    return [*range(350), *(10**18 + i * 10**15 for i in range(50))]  # crowded, with outliers
+
+
+@pytest.mark.parametrize("kind", ["even", "sparse", "crowded"])
+@pytest.mark.parametrize("by_dur", [True, False])
+@pytest.mark.parametrize("rows_per_bucket", [10, 1000])
+def test_ordinals(spark, monkeypatch, kind, by_dur, rows_per_bucket):
+    from shelfwise.operators import numbering
+
+    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", rows_per_bucket)
+    rows = [(p, "t", "h", (i * 7919) % 3) for i, p in enumerate(_positions(kind))]
+    items = _catalogue(spark, rows)
+    got = {r.pos: r.n for r in (by_duration(items, "n") if by_dur else by_position(items, "pos", "n")).collect()}
     order = sorted(rows, key=lambda r: (r[3], r[0])) if by_dur else sorted(rows)
     assert got == {r[0]: i + 1 for i, r in enumerate(order)}
+    bucket = position_bucket(items, "pos")
+    if rows_per_bucket > len(rows):
+        assert bucket is None
+    else:  # the counts that meet in one task follow the rows, not the spread of the positions
+        assert 20 <= items.select(bucket).distinct().count() <= 2 * numbering.RANGES
 
 
-def test_ordinal_plan_has_no_full_single_partition(spark, sf_dir):
+def test_ordinals_of_many_rows_do_not_meet_in_one_task(spark, sf_dir, monkeypatch):
+    from shelfwise.operators import numbering
     from shelfwise.sources import catalogue
 
+    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", 100)
     plan = cat.resequence_by_duration(catalogue(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SinglePartition") == 1  # the counts of the buckets
 

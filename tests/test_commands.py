@@ -4,6 +4,7 @@ import pytest
 
 from shelfwise import schemas
 from shelfwise.operators import commands as cmd
+from shelfwise.operators import numbering
 from shelfwise.streaming import read_raw_stream, run_intake
 
 
@@ -42,7 +43,7 @@ def simulate(log):
 @pytest.mark.parametrize("seed,bucket", [(0, None), (1, 7), (2, 1)])
 def test_replay_agrees_with_a_list(spark, monkeypatch, seed, bucket):
     if bucket:  # hot sessions, cut into many buckets, give the same
-        monkeypatch.setattr(cmd, "_SEQ_PER_BUCKET", bucket)
+        monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", bucket)
         monkeypatch.setattr(cmd, "_ROWS_PER_TASK", 10)
     rng = random.Random(seed)
     logs = {
