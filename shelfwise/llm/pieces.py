@@ -155,10 +155,12 @@ class Codec:
         """
         ids = np.array(self.model.encode(text, add_bos=True, add_eos=True), np.uint32)
         aligned = self.normalise(text)
-        stop = np.cumsum(self.covers[ids])
-        start = stop - self.covers[ids]
-        if len(stop) and stop[-1] != len(aligned.text):
-            raise ValueError("pieces do not cover the normalised text: it holds an unknown piece")
+        covers = self.covers[ids]
+        if (ids == self.model.unk_id()).any():  # an unknown piece covers what the text has there
+            own = self.model.encode(text, out_type="immutable_proto").pieces
+            covers[1:-1] = [covers[k] if p.id != self.model.unk_id() else len(p.piece.encode()) for k, p in enumerate(own, 1)]
+        stop = np.cumsum(covers)
+        start = stop - covers
         size = len(text.encode())
         begins, ends = np.append(aligned.begin, size), np.append(0, aligned.end)
         from_ = begins[start]
@@ -230,7 +232,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit), decoded_sha256, spans_sha256
     (start and end of each piece in turn, as little-endian 64-bit), covered (source bytes
-    under at least one piece's end). Null texts count as empty.
+    under at least one piece's end). Null texts count as empty; repeated rows are coded like any
+    others, an empty table gives no rows, extra columns are ignored.
     """
     path = path or model_path()
 

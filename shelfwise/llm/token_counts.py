@@ -18,12 +18,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm.pieces import model_path
+from shelfwise.llm.pieces import Normaliser, model_path
 
-#: Entries of the broadcast table (about 1 MB), and what each task may propose for it.
+#: Entries of the broadcast table, and what each task may propose for it.
 TABLE_ENTRIES, TASK_ENTRIES = 1 << 16, 1 << 13
 #: Entries a worker's cache, and a task's running counts, may hold before they are cut back.
 CACHE_ENTRIES = 1 << 18
+#: Longer pre-tokens are neither counted for the table nor kept, so that entries bound bytes (some 10 MB, some 50 MB).
+LONGEST = 64
 LIMIT = 4096
 _MARK = "▁"
 _RUN = re.compile(r"[ ▁]*[^ ▁]+|[ ▁]+")
@@ -42,6 +44,10 @@ def pre_tokens(text: str) -> list[str]:
 
 @lru_cache(maxsize=2)
 def _model(path: str) -> sentencepiece.SentencePieceProcessor:
+    with open(path, "rb") as f:
+        normalise = Normaliser(f.read())
+    if normalise.map or normalise.trim or not (normalise.prefix and normalise.mark):
+        raise ValueError("the model's normaliser does more than mark spaces: counts of words do not add up for it")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     for i in range(model.get_piece_size()):
         if _MARK in model.id_to_piece(i).lstrip(_MARK):
@@ -62,9 +68,10 @@ class Lengths(dict):
         n = self.table.get(word)
         if n is None:
             n = len(self.model.encode(word)) if word else self.lone_mark
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = n
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -74,10 +81,11 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(pre_tokens(text or ""))
+            words = pre_tokens(text or "")
+            counts.update(words if max(map(len, words), default=0) <= LONGEST else [w for w in words if len(w) <= LONGEST])
             if len(counts) > CACHE_ENTRIES:
                 counts = Counter(dict(counts.most_common(CACHE_ENTRIES // 2)))
-    best = counts.most_common(TASK_ENTRIES)
+    best = [x for x in counts.most_common(TASK_ENTRIES) if x[1] > 1]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["word", "n"])
 
 
@@ -93,7 +101,8 @@ def frequent_lengths(docs: DataFrame, path: str, entries: int = TABLE_ENTRIES) -
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; null texts count as empty.
 
-    The table only saves time: counts are those of the model whatever it holds.
+    Repeated rows are counted like any others, an empty table gives no rows, extra columns are
+    ignored. The table only saves time: counts are those of the model whatever it holds.
     """
     path = path or model_path()
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))

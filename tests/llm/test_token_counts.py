@@ -1,3 +1,4 @@
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,3 +39,19 @@ def test_odd_rows(spark, write, odd_docs):
     assert got == sorted(want, key=str)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert tc.count_tokens(docs.where("doc_id < 0")).count() == 0
+
+
+def test_long_words_are_counted_but_not_kept(spark):
+    rows = [(i, "ab" * n + " short short") for i, n in enumerate((10, 40, 50_000, 50_000))]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, n_tokens string, word string").coalesce(1)
+    assert set(tc.frequent_lengths(docs, model_path())) == {"short"}
+    assert {r.doc_id: r.n_tokens for r in tc.count_tokens(docs).collect()} == {i: len(MODEL.encode(t)) for i, t in rows}
+    of = tc.Lengths(model_path(), {})
+    assert of["a" * 1000] > 1 and not of
+
+
+def test_other_normalisers_are_refused(tmp_path):
+    mapped = sentencepiece.SentencePieceNormalizer(rule_name="nfkc").serialized_model_proto()
+    (tmp_path / "m.model").write_bytes(mapped)
+    with pytest.raises(ValueError, match="normaliser"):
+        tc._model(str(tmp_path / "m.model"))

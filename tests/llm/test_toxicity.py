@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfwise.llm import toxicity as tx
 
@@ -104,3 +106,48 @@ def test_automaton_outlives_its_bound(monkeypatch):
     words = ["".join(rng.choices("idotscumwrhle", k=rng.randint(1, 10))) for _ in range(400)] + ["worthles", "idi0t", "loweiab"] * 3
     assert [a.match(w) for w in words] == [slow_match(w) for w in words]
     assert len(a._states) < 40
+
+
+def slow_score(model, text):
+    """Word by word against every term by edit distance, windows by index, the sum by hand."""
+    raw = (text or "").lower().split()
+    hits = []
+    for i, word in enumerate(raw):
+        found = [(f, m.span()) for m in tx._WORD.finditer(word) for f in [slow_find(model.terms, m.group())] if f]
+        if not found:
+            continue
+        spans = [m.span() for m in tx._WORD.finditer(word)]
+        before, after = raw[max(0, i - tx.WINDOW) : i], raw[i + 1 : i + 1 + tx.WINDOW]
+        quoted = tx.is_quoted(" ".join([*before, word[: spans[0][0]]]), " ".join([word[spans[-1][1] :], *after]))
+        near = {m.group() for w in before + after if (m := tx._WORD.search(w))}
+        cue = 1 / (1 + math.exp(-sum(model.cues.get(w, 0) for w in near)))
+        hits += [(model.terms[k][2] * tx.EDIT_FACTOR**e * (tx.QUOTE_FACTOR if quoted else 1) * 2 * cue, quoted, e > 0) for (k, e), _ in found]
+    strength = sum(h[0] for h in hits)
+    x = [1, math.log1p(strength), math.log1p(len(hits)), math.log1p(sum(h[1] for h in hits)), math.log1p(sum(h[2] for h in hits)), strength / max(1, len(raw))]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(model.weights, x))))))
+
+
+FOUND = {}
+
+
+def slow_find(terms, word):
+    if word not in FOUND:
+        hits = [(0, -o, k) for k, (t, stem, o) in enumerate(terms) if stem and word.startswith(t)]
+        hits += [(e, -o, k) for k, (t, stem, o) in enumerate(terms) if not stem and abs(len(t) - len(word)) <= 2 and (e := edits(word, t)) <= tx.allowed_edits(len(t))]
+        FOUND[word] = (min(hits)[2], min(hits)[0]) if hits else None
+    return FOUND[word]
+
+
+@pytest.mark.parametrize("bound", [tx._CACHE, 50])
+def test_every_score_against_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(tx, "_CACHE", bound)  # 50: states and words are forgotten all the time
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = tx.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    assert model.terms
+    FOUND.clear()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, t in texts.items():
+        assert model.score(t) == pytest.approx(slow_score(model, t)), i
+    got = {r.doc_id: r.score for r in tx.score(docs.withColumns({"score": F.lit("x"), "toxic": F.lit("y")}), model).collect()}
+    assert got == {i: pytest.approx(model.score(t)) for i, t in texts.items()}
