@@ -12,27 +12,33 @@ from shelfwise.llm.common import file_row, materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no known language, go."""
+    """Documents without letters (null and empty ones too), or in no known language, go; if no row
+    has a language, only the former. Repeated rows stay or go together."""
     return langid.keep_identified(docs, row=file_row(docs))
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of texts equal but for white space stays, repeated rows included: the
+    smallest id, null ids last, then the first in the files. Null texts count as empty."""
     return exact_dedup.deduplicate(docs, row=file_row(docs))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints stays."""
+    """One document of each group stays, chosen as above: groups reach each other by pairs whose
+    sets of five-word shingles are similar to 0.8 or more. Null, empty and blank texts are one group."""
     return simhash.keep_one_of_each(docs, row=file_row(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
-    return mixing.mix(docs)
+    """All documents, in the order of the mixture. Null sources are one source; repeated rows and
+    null or empty texts are placed like any others."""
+    return mixing.mix(docs, key=mixing.random_key(docs))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the pieces, of the decoded text and of the spans, one row per document."""
+    """Digests of the pieces, of the decoded text and of the spans, one row per document, repeated
+    ones too. Null texts count as empty. An empty table gives no rows in any stage; columns with
+    other names pass through all but this one unchanged."""
     return pieces.round_trip(docs)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import BROADCAST_BYTES, materialise
+from shelfwise.llm.common import BROADCAST_BYTES, file_row, materialise
 
 BLOCK_ROWS = 32
 #: Slots of a period that weights are rounded to; None: they are not rounded.
@@ -131,6 +131,12 @@ def _number(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
     return numbered.join(offsets, ["source", "bucket"]).withColumn("idx", F.col("offset") + F.col("place") - 1)
 
 
+def random_key(scan: DataFrame) -> Column:
+    """A key for tables read straight from Parquet files, in which copies of a row differ too, so
+    that they are numbered in many buckets."""
+    return F.xxhash64("doc_id", "text", file_row(scan))
+
+
 def schedule(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source: Column | None = None,
     key: Column | None = None, block: int = BLOCK_ROWS, period: int | None = PERIOD,
@@ -138,7 +144,8 @@ def schedule(
     """doc (the whole row), source, block, slot (of the block, within its phase), phase, position.
 
     ``position`` counts from 0 without gaps over all rows. Rows of a source go in the order of
-    ``key`` (long; a hash of id and text unless given), so blocks are random. A null source is the source "".
+    ``key`` (long; a hash of id and text unless given; rows with the same key are numbered in one
+    task), so blocks are random. A null source is the source "".
     Sources without a given weight are an error, as are more than MAX_SOURCES sources. Repeated
     rows are placed one after the other; an empty table gives no rows.
     """
@@ -173,6 +180,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **options)
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # the texts only make the keys: they stay behind before the rows are shuffled
-    slim = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("key"))
+    slim = docs.select("doc_id", "source", random_key(docs).alias("key"))
     placed = schedule(slim, key=F.col("key"))
     return placed.select("doc.doc_id", "source", "phase", "block", "slot", "position")
