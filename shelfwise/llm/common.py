@@ -70,11 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star contraction on (larger, smaller) edges. Minima are
     pre-aggregated and joined back, so a hub's edges are never gathered into one group; each
-    round is checkpointed to the shared folder.
+    round is written to the shared folder.
     """
-    scratch_root(edges.sparkSession)
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    stars = ends.distinct().checkpoint()
+    stars = materialise(ends.distinct(), "stars")
 
     def signature(df: DataFrame):
         # sums of both halves of the hash: equal for two different states by chance only
@@ -88,11 +87,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < k").select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+        large = large.unionByName(least.where("m < k").select(F.col("k").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        stars = materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = signature(stars)
         if now == before:
             break

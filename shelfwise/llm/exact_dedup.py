@@ -18,7 +18,7 @@ from shelfwise.llm.common import file_row, least_row, materialise, packed, scrat
 #: Buckets of an index; one file each per batch. Size for 128 MB or more in each at full scale.
 BUCKETS = 64
 #: Batches that a load is dealt over.
-PARTS = 4
+PARTS = 2
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
