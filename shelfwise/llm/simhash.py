@@ -8,9 +8,9 @@ group's value, probed over the ball of that radius, and every candidate is verif
 
 Texts whose shingle sets are similar to 0.8 have fingerprints up to some 16 bits apart, and balls
 of that radius hold a share of all pairs that no partition makes small. For such copies
-(``keep_one_of_each``) groups of fingerprints within the radius are one kind of bucket among
-others, made of bands of minimal shingle hashes; inside a bucket the distance of fingerprints sorts
-out most pairs, and the similarity of the shingle sets decides.
+(``keep_one_of_each``) fingerprints within the small radius are one source of candidates, bands of
+minimal shingle hashes another; the distance of fingerprints then sorts out most pairs, and the
+similarity of the shingle sets decides.
 """
 
 from collections.abc import Iterator, Sequence
@@ -307,17 +307,27 @@ def _compare(similarity: float):
     return run
 
 
+def _apart(units: DataFrame) -> DataFrame:
+    """(print, key): pairs of linked fingerprints whose units share no band, a bucket each."""
+    prints = units.groupBy("fp").agg(F.count("*").alias("units"), F.min("bands").alias("bands"))
+    prints = materialise(prints.select("fp", F.when(F.col("units") == 1, F.col("bands")).alias("bands")), "prints")
+    a, b = (prints.select(F.col("fp").alias(c), F.col("bands").alias(f"{c}_bands")) for c in "ab")
+    met = F.coalesce(F.arrays_overlap("a_bands", "b_bands"), F.lit(False))
+    pairs = linked_pairs(prints).join(a, "a").join(b, "b").where(~met)
+    return pairs.select(F.explode(F.array("a", "b")).alias("print"), F.xxhash64("a", "b").alias("key"))
+
+
 def similar_units(units: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(a, b) that join the units similar enough. Units (unit, row, fp, bands, n): one per distinct
     shingle set, n of them shingles; sketches hold the minima and shingles of each row.
 
-    Units meet in buckets: those whose fingerprints reach each other by links, and those that
-    share a band. A large bucket is compared in pairs of parts of bounded size, a task each.
+    Units meet in buckets: those that share a band or a fingerprint, and linked fingerprints that
+    do not. A large bucket is compared in pairs of parts of bounded size, a task each.
     """
-    linked = group_prints(units).select(F.col("fp").alias("print"), F.xxhash64("root", F.lit(SEED)).alias("key"))
     slim = ("key", "unit", "row", "n")
-    by_band = units.withColumn("key", F.explode("bands")).select(*slim)
-    keys = by_band.unionByName(units.join(linked, F.col("fp") == F.col("print")).select(*slim))
+    own = F.xxhash64("fp", F.lit(SEED))
+    keys = units.withColumn("key", F.explode(F.array_append("bands", own))).select(*slim)
+    keys = keys.unionByName(_apart(units).join(units, F.col("print") == F.col("fp")).select(*slim))
     weight = 1 + F.floor(F.col("n") / LONG)
     shared = keys.groupBy("key").agg(F.count("*").alias("units"), F.sum(weight).alias("m")).where("units > 1").select("key", "m")
     met = materialise(keys.join(shared, "key"), "buckets")
