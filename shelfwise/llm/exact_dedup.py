@@ -54,8 +54,10 @@ class DigestIndex:
     def append(self, new: DataFrame, batch: str) -> None:
         """Add the batch's new digests, but for those that it has appended in an earlier attempt."""
         own = self.read().where(F.col("batch") == batch)
-        rows = new.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
-        rows.hint("merge").join(own, "digest", "left_anti").sortWithinPartitions("digest").write.insertInto(self.table)
+        rows = new.select("digest", "keep_id", F.lit(batch).alias("batch")).join(own, "digest", "left_anti")
+        # a task for each bucket, so that it writes one file of it: buckets are told by this hash
+        dealt = rows.repartitionById(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
+        dealt.sortWithinPartitions("digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def close(self) -> None:

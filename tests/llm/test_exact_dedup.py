@@ -43,6 +43,8 @@ def test_index_persists_over_batches(spark, write, tmp_path):
     # the same batch again, as after a failure past the append, keeps the same rows and adds nothing
     assert sorted(r.doc_id for r in ed.deduplicate(docs, index, "monday").collect()) == [0, 1, 2, 3, 4]
     assert index.read().count() == 5
+    files = [f for f in (tmp_path / "in'dex").iterdir() if f.suffix == ".parquet"]
+    assert len(files) <= 4 * ed.PARTS  # one file a bucket and append
     assert ed.deduplicate(docs, index, "tuesday").count() == 0  # another batch with the same texts
     folder2 = write([(0, "text 3", "en", "s", 1), (77, "new", "en", "s", 1)], name="more")
     report = ed.group_report(spark.read.parquet(f"{folder2}/more.parquet"), index, "wednesday").collect()
