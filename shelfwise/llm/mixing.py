@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import BROADCAST_BYTES, file_row, materialise
+from shelfwise.llm.common import BROADCAST_BYTES, broadcast_if_small, file_row, materialise
 
 BLOCK_ROWS = 32
 #: Slots of a period that weights are rounded to; None: they are not rounded.
@@ -29,8 +29,12 @@ PERIOD: int | None = None
 TEMPERATURE = 0.7
 #: Sources a mixture may name, as the schedule is planned over one row for each.
 MAX_SOURCES = 1000
-#: Rows that one task numbers; blocks of a source whose slots are one row of the schedule.
-BUCKET_ROWS, CHUNK = 8192, 4096
+#: Rows of a bucket that one task numbers, more if there would be more buckets than this otherwise.
+BUCKET_ROWS, MAX_BUCKETS = 8192, 1 << 14
+#: Blocks of a source whose slots are one row of the schedule.
+CHUNK = 4096
+#: Rows of a mixed file at most, and at least while there are fewer files than shuffle partitions.
+PART_ROWS, LEAST_PART_ROWS = 1 << 17, 1024
 
 
 def quotas(weights: Mapping[str, float], period: int | None = None) -> dict[str, int]:
@@ -117,18 +121,26 @@ def _chunks(phases: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def _number(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
-    """Add ``idx``, the row's place within its source in the order of ``key``. A large source is
-    numbered in many buckets of keys, so no source meets in one task."""
-    sizes = [(s, max(1, -(-n // BUCKET_ROWS))) for s, n in counts.items()]  # at most MAX_SOURCES rows
+def _bucketed(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
+    """Add ``bucket``: a large source is numbered in many buckets of keys, so none meets in one task."""
+    rows_of_bucket = max(BUCKET_ROWS, -(-sum(counts.values()) // MAX_BUCKETS))
+    sizes = [(s, max(1, -(-n // rows_of_bucket))) for s, n in counts.items()]  # at most MAX_SOURCES rows
     sizes = F.broadcast(rows.sparkSession.createDataFrame(sizes, "b_source string, buckets long"))
-    rows = rows.join(sizes, F.col("source") == F.col("b_source")).withColumn("bucket", F.pmod("key", "buckets"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(sizes, F.col("source") == F.col("b_source")).withColumn("bucket", F.pmod("key", "buckets"))
+    return found.drop("b_source", "buckets")
+
+
+def _number(rows: DataFrame) -> DataFrame:
+    """Add ``idx``, the row's place within its source in the order of bucket and key, and
+    ``before``, the number of rows of the source that come before it by that order (less than
+    ``idx`` for the second of two rows with the same key)."""
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    offsets = offsets.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key"))
-    numbered = rows.withColumn("place", place)
-    return numbered.join(offsets, ["source", "bucket"]).withColumn("idx", F.col("offset") + F.col("place") - 1)
+    offsets = offsets.select("source", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    in_bucket = Window.partitionBy("source", "bucket").orderBy("key")
+    numbered = rows.withColumn("place", F.row_number().over(in_bucket)).withColumn("rank", F.rank().over(in_bucket))
+    numbered = numbered.join(offsets, ["source", "bucket"])
+    return numbered.withColumn("idx", F.col("offset") + F.col("place") - 1).withColumn("before", F.col("offset") + F.col("rank") - 1)
 
 
 def random_key(scan: DataFrame) -> Column:
@@ -137,6 +149,35 @@ def random_key(scan: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text", file_row(scan))
 
 
+def _rows(docs: DataFrame, source: Column | None, key: Column | None) -> DataFrame:
+    """(doc, source, key), packed, so that no column of the documents can clash with the ones added here."""
+    source = F.coalesce("source", F.lit("")) if source is None else source
+    key = F.xxhash64("doc_id", "text") if key is None else key
+    return docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"), key.alias("key"))
+
+
+def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, period: int | None) -> tuple[dict[str, int], DataFrame]:
+    """Row counts of the sources, and the plan in chunks, broadcast if it is small enough."""
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    if len(counts) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; give them a coarser key")
+    weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
+    if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
+        raise ValueError(f"sources without a positive weight: {missing[:5]}")
+    planned = _chunks(plan(counts, weights, block, period))
+    phases = rows.sparkSession.createDataFrame(planned, "p_source string, chunk long, phase int, first long, end long, start_row long, slots array<long>")
+    return counts, F.broadcast(phases) if planned.nbytes <= BROADCAST_BYTES else materialise(phases, "slots")
+
+
+def _placed(numbered: DataFrame, phases: DataFrame, block: int) -> DataFrame:
+    """Add block, slot, phase and position to rows that have their ``idx``."""
+    numbered = numbered.withColumn("block", F.floor(F.col("idx") / block))
+    of_chunk = (F.col("source") == F.col("p_source")) & (F.floor(F.col("block") / CHUNK) == F.col("chunk"))
+    in_phase = of_chunk & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
+    found = numbered.join(phases, in_phase).withColumn("slot", F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int")))
+    return found.withColumn("position", F.col("start_row") + F.col("slot") * block + F.pmod("idx", F.lit(block)))
+
+
 def schedule(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source: Column | None = None,
     key: Column | None = None, block: int = BLOCK_ROWS, period: int | None = PERIOD,
@@ -149,32 +190,43 @@ def schedule(
     Sources without a given weight are an error, as are more than MAX_SOURCES sources. Repeated
     rows are placed one after the other; an empty table gives no rows.
     """
-    source = F.coalesce("source", F.lit("")) if source is None else source
-    key = F.xxhash64("doc_id", "text") if key is None else key
-    # packed, so that no column of the documents can clash with the ones added here
-    rows = docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"), key.alias("key"))
-    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give them a coarser key")
-    weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
-    if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
-        raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    planned = _chunks(plan(counts, weights, block, period))
-    phases = docs.sparkSession.createDataFrame(planned, "p_source string, chunk long, phase int, first long, end long, start_row long, slots array<long>")
-    phases = F.broadcast(phases) if planned.nbytes <= BROADCAST_BYTES else materialise(phases, "slots")
-    numbered = _number(rows, counts).withColumn("block", F.floor(F.col("idx") / block))
-    of_chunk = (F.col("source") == F.col("p_source")) & (F.floor(F.col("block") / CHUNK) == F.col("chunk"))
-    in_phase = of_chunk & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    slot = F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int"))
-    return numbered.join(phases, in_phase).select(
-        "doc", "source", "block", slot.alias("slot"), "phase",
-        (F.col("start_row") + slot * block + F.pmod("idx", F.lit(block))).alias("position"),
-    )
+    rows = _rows(docs, source, key)
+    counts, phases = _planned(rows, weights, block, period)
+    placed = _placed(_number(_bucketed(rows, counts)), phases, block)
+    return placed.select("doc", "source", "block", "slot", "phase", "position")
+
 
+def mix(
+    docs: DataFrame, weights: Mapping[str, float] | None = None, source: Column | None = None,
+    key: Column | None = None, block: int = BLOCK_ROWS, period: int | None = PERIOD,
+) -> DataFrame:
+    """The documents, whole, in the order of the mixture, as ``schedule`` places them. Written, the
+    files follow that order; rows with the same key go into one file.
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """The documents, whole, in the order of the mixture. Written, the files follow that order."""
-    return schedule(docs, weights, **options).orderBy("position").select("doc.*")
+    The order is cut into parts. A first pass numbers keys alone and finds the key at which each
+    part begins in each source and bucket; with those a second pass sends every document straight
+    to its part, where the places are counted on from there. Texts are shuffled once, as long as
+    both these keys and the schedule are small enough to be broadcast.
+    """
+    rows = _rows(docs, source, key)
+    slim = rows.drop("doc")
+    counts, phases = _planned(slim, weights, block, period)
+    total = sum(counts.values())
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-total // PART_ROWS), min(tasks, -(-total // LEAST_PART_ROWS)))
+    part = F.floor(F.col("position") / max(1, -(-total // parts))).cast("int")
+    placed = _placed(_number(_bucketed(slim, counts)), phases, block).withColumn("part", part)
+    begins = placed.groupBy("source", "bucket", "part").agg(F.min("key").alias("low"), F.min("before").alias("before"))
+    # as many as a bucket has parts, of which there are no more than tasks
+    begins = begins.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(F.struct("low", "part", "before"))).alias("begins"))
+    begins = broadcast_if_small(begins, 32 + F.octet_length("source") + 24 * F.size("begins"), "begins")
+    whole = _bucketed(rows, counts).join(begins, ["source", "bucket"])
+    begin = F.element_at(F.filter("begins", lambda b: b["low"] <= F.col("key")), -1)
+    whole = whole.withColumn("begin", begin).select("doc", "source", "bucket", "key", "begin.part", "begin.before")
+    dealt = whole.repartitionById(parts, "part")  # the window below finds its rows together
+    place = F.row_number().over(Window.partitionBy("part", "source", "bucket").orderBy("key"))
+    dealt = dealt.withColumn("idx", F.col("before") + place - 1)
+    return _placed(dealt, phases, block).sortWithinPartitions("position").select("doc.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from fractions import Fraction
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfwise.llm import mixing as mx
 
@@ -76,6 +77,32 @@ def test_no_python_in_the_plan(spark, sf_dir):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("buckets", [1 << 14, 4])
+def test_parts_follow_the_schedule(spark, sf_dir, monkeypatch, tmp_path, buckets):
+    monkeypatch.setattr(mx, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(mx, "MAX_BUCKETS", buckets)
+    monkeypatch.setattr(mx, "PART_ROWS", 90)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = mx.random_key(docs)
+    want = [r.doc_id for r in mx.schedule(docs, key=key).orderBy("position").select("doc.doc_id").collect()]
+    mixed = mx.mix(docs, key=key)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("shufflepartitionidpassthrough") == 1 and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    assert len(files) > 1 and [r.doc_id for f in files for r in spark.read.parquet(str(f)).collect()] == want
+
+
+def test_rows_with_equal_keys_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(mx, "LEAST_PART_ROWS", 10)
+    rows = [(7 if i % 3 else i, "same" if i % 3 else f"t{i}", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mx.mix(docs, {"a": 2, "b": 1}, block=4)
+    assert sorted(tuple(r) for r in mixed.collect()) == sorted(rows)
+    assert mx.mix(docs, {"a": 2, "b": 1}, key=F.lit(1), block=4).count() == len(rows)
+
+
 def test_odd_rows(spark, write, odd_docs):
     folder = write(odd_docs)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
