@@ -3,14 +3,17 @@
 Rows of a source are cut into blocks. With weight w, block k of a source is released at slot
 floor(k / w) and due by slot ceil((k + 1) / w); at each slot the released block with the
 earliest deadline goes out. After any number of slots each source is then less than one block
-away from its share. Weights are exact fractions, never rounded, so the order need not repeat:
-the driver deals the slots one by one, over the sources' row counts only, and holds one number a
-block; blocks find their slots by joins. When a source runs out, the weights of the others are
-scaled up and a new phase begins, so that all rows are placed; the bound holds within each phase.
+away from its share. Weights are exact fractions, never rounded, and the order repeats after as
+many slots as their least common period has. The driver deals one period, over the sources' row
+counts only; blocks find their turn and their slot in it by joins, so what the driver holds does
+not grow with the rows. When a source runs out, the weights of the others are scaled up and a new
+phase begins, so that all rows are placed; the bound holds within each phase.
 """
 
 from array import array
-from collections.abc import Iterator, Mapping
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -25,8 +28,9 @@ from shelfwise.llm.common import BROADCAST_BYTES, broadcast_if_small, file_row,
 BLOCK_ROWS = 32
 #: Slots of a period that weights are rounded to; None: they are not rounded.
 PERIOD: int | None = None
-#: Without given weights, a source weighs its row count to this power: small ones gain.
-TEMPERATURE = 0.7
+#: Without given weights, a source weighs its row count to this power, in whole numbers that sum to
+#: about SHARES: small ones gain, and the order repeats after about SHARES blocks.
+TEMPERATURE, SHARES = 0.7, 1 << 14
 #: Sources a mixture may name, as the schedule is planned over one row for each.
 MAX_SOURCES = 1000
 #: Rows of a bucket that one task numbers, more if there would be more buckets than this otherwise.
@@ -39,8 +43,9 @@ PART_ROWS, LEAST_PART_ROWS = 1 << 17, 1024
 
 def quotas(weights: Mapping[str, float], period: int | None = None) -> dict[str, int]:
     """Blocks of each source in a period: its share, rounded by largest remainder, at least one.
-    Without a period, the least whole numbers in exact proportion to the weights."""
-    exact = {s: Fraction(w) for s, w in weights.items()}
+    Without a period, the least whole numbers in exact proportion to the weights, a float being
+    the decimal that it is written as."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
     if period is None:
         unit = lcm(*(x.denominator for x in exact.values()))
         whole = {s: int(x * unit) for s, x in exact.items()}
@@ -84,6 +89,30 @@ def one_period(quota: Mapping[str, int]) -> list[str]:
     return list(islice(_deal(quota), sum(quota.values())))
 
 
+def default_weights(rows: Mapping[str, int]) -> dict[str, int]:
+    """Whole numbers in proportion to the row counts to the power TEMPERATURE, at least one."""
+    total = sum(n**TEMPERATURE for n in rows.values())
+    return {s: max(1, round(SHARES * n**TEMPERATURE / total)) for s, n in rows.items()}
+
+
+@dataclass(frozen=True)
+class Slots(Sequence):
+    """The slot of each of a source's blocks in a phase: those dealt for one period, over and over."""
+
+    dealt: array
+    period: int
+    blocks: int
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __getitem__(self, k: int) -> int:
+        if not 0 <= k < self.blocks:
+            raise IndexError(k)
+        turn, at = divmod(k, len(self.dealt))
+        return turn * self.period + self.dealt[at]
+
+
 def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, period: int | None = None) -> list[tuple]:
     """(source, phase, first_block, end_block, start_row, slots) of each source in each phase it
     takes part in; slots[k] is the slot of its k-th block in the phase."""
@@ -92,14 +121,19 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
     short = {s: -(-n // block) * block - n for s, n in rows.items()}
     phases, start, phase = [], 0, 0
     while left:
-        slots = {s: array("q") for s in left}
-        for slot, s in enumerate(_deal(quotas({s: weights[s] for s in left}, period))):
-            slots[s].append(slot)
-            if len(slots[s]) == left[s]:
+        quota = quotas({s: weights[s] for s in left}, period)
+        length, dealt = sum(quota.values()), {s: array("q") for s in left}
+        for slot, s in enumerate(islice(_deal(quota), length)):
+            dealt[s].append(slot)
+            if len(dealt[s]) == left[s]:
                 break
-        phases += [(s, phase, done[s], done[s] + len(slots[s]), start, slots[s]) for s in left]
-        done = {s: done[s] + len(slots[s]) for s in left}
-        left = {s: n - len(slots[s]) for s, n in left.items()}
+        else:  # the period repeats until the first source runs out
+            slot, s = min((Slots(dealt[s], length, n)[n - 1], s) for s, n in left.items())
+        turns, at = divmod(slot + 1, length)
+        taken = {s: Slots(of, length, turns * len(of) + bisect_left(of, at)) for s, of in dealt.items()}
+        phases += [(s, phase, done[s], done[s] + len(taken[s]), start, taken[s]) for s in left]
+        done = {s: done[s] + len(taken[s]) for s in left}
+        left = {s: n - len(taken[s]) for s, n in left.items()}
         # only a source's last block can be short, and it ends a phase
         start += (slot + 1) * block - short[s]
         left = {s: n for s, n in left.items() if n}
@@ -107,18 +141,22 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
     return phases
 
 
-def _chunks(phases: list[tuple]) -> pa.Table:
-    """The plan in rows of at most CHUNK blocks of a source, which blocks find by equality."""
-    cut = []
-    for s, phase, first, end, start, slots in phases:
-        for chunk in range(first // CHUNK, -(-end // CHUNK)):
-            low, high = max(first, chunk * CHUNK), min(end, (chunk + 1) * CHUNK)
-            if low < high:
-                cut.append((s, chunk, phase, low, high, start, slots[low - first : high - first]))
-    types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-    names = ["p_source", "chunk", "phase", "first", "end", "start_row", "slots"]
-    columns = zip(*cut, strict=True) if cut else [()] * len(names)
-    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+def _tables(phases: list[tuple]) -> tuple[pa.Table, pa.Table]:
+    """The plan as a row for each source and phase, and the slots of its period in rows of at most
+    CHUNK blocks, which blocks find by equality."""
+    used = [p for p in phases if p[2] < p[3]]
+    spans = [(s, phase, first, end, start, len(slots.dealt), slots.period) for s, phase, first, end, start, slots in used]
+    cut = [(s, phase, low // CHUNK, slots.dealt[low : low + CHUNK]) for s, phase, *_, slots in used for low in range(0, len(slots.dealt), CHUNK)]
+    return _table(spans, _SPAN), _table(cut, _SLOTS)
+
+
+_SPAN = pa.schema([("p_source", pa.string()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("first", "end", "start_row", "quota", "period"))])
+_SLOTS = pa.schema([("s_source", pa.string()), ("s_phase", pa.int32()), ("chunk", pa.int64()), ("slots", pa.list_(pa.int64()))])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _bucketed(rows: DataFrame, counts: Mapping[str, int]) -> DataFrame:
@@ -156,25 +194,29 @@ def _rows(docs: DataFrame, source: Column | None, key: Column | None) -> DataFra
     return docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"), key.alias("key"))
 
 
-def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, period: int | None) -> tuple[dict[str, int], DataFrame]:
-    """Row counts of the sources, and the plan in chunks, broadcast if it is small enough."""
+def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, period: int | None) -> tuple[dict[str, int], tuple[DataFrame, DataFrame]]:
+    """Row counts of the sources, and the tables of the plan, each broadcast if it is small enough."""
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; give them a coarser key")
-    weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
+    weights = weights or default_weights(counts)
     if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    planned = _chunks(plan(counts, weights, block, period))
-    phases = rows.sparkSession.createDataFrame(planned, "p_source string, chunk long, phase int, first long, end long, start_row long, slots array<long>")
-    return counts, F.broadcast(phases) if planned.nbytes <= BROADCAST_BYTES else materialise(phases, "slots")
+    tables = [(t, rows.sparkSession.createDataFrame(t)) for t in _tables(plan(counts, weights, block, period))]
+    spans, slots = (F.broadcast(df) if t.nbytes <= BROADCAST_BYTES else materialise(df, "slots") for t, df in tables)
+    return counts, (spans, slots)
 
 
-def _placed(numbered: DataFrame, phases: DataFrame, block: int) -> DataFrame:
+def _placed(numbered: DataFrame, planned: tuple[DataFrame, DataFrame], block: int) -> DataFrame:
     """Add block, slot, phase and position to rows that have their ``idx``."""
+    spans, slots = planned
     numbered = numbered.withColumn("block", F.floor(F.col("idx") / block))
-    of_chunk = (F.col("source") == F.col("p_source")) & (F.floor(F.col("block") / CHUNK) == F.col("chunk"))
-    in_phase = of_chunk & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    found = numbered.join(phases, in_phase).withColumn("slot", F.element_at("slots", (F.col("block") - F.col("first") + 1).cast("int")))
+    in_phase = (F.col("source") == F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
+    nth = F.col("block") - F.col("first")
+    found = numbered.join(spans, in_phase).withColumn("turn", F.floor(nth / F.col("quota"))).withColumn("at", F.pmod(nth, F.col("quota")))
+    of_chunk = (F.col("source") == F.col("s_source")) & (F.col("phase") == F.col("s_phase")) & (F.floor(F.col("at") / CHUNK) == F.col("chunk"))
+    in_turn = F.element_at("slots", (F.pmod("at", F.lit(CHUNK)) + 1).cast("int"))
+    found = found.join(slots, of_chunk).withColumn("slot", F.col("turn") * F.col("period") + in_turn)
     return found.withColumn("position", F.col("start_row") + F.col("slot") * block + F.pmod("idx", F.lit(block)))
 
 
@@ -191,8 +233,8 @@ def schedule(
     rows are placed one after the other; an empty table gives no rows.
     """
     rows = _rows(docs, source, key)
-    counts, phases = _planned(rows, weights, block, period)
-    placed = _placed(_number(_bucketed(rows, counts)), phases, block)
+    counts, planned = _planned(rows, weights, block, period)
+    placed = _placed(_number(_bucketed(rows, counts)), planned, block)
     return placed.select("doc", "source", "block", "slot", "phase", "position")
 
 
@@ -210,12 +252,12 @@ def mix(
     """
     rows = _rows(docs, source, key)
     slim = rows.drop("doc")
-    counts, phases = _planned(slim, weights, block, period)
+    counts, planned = _planned(slim, weights, block, period)
     total = sum(counts.values())
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, -(-total // PART_ROWS), min(tasks, -(-total // LEAST_PART_ROWS)))
     part = F.floor(F.col("position") / max(1, -(-total // parts))).cast("int")
-    placed = _placed(_number(_bucketed(slim, counts)), phases, block).withColumn("part", part)
+    placed = _placed(_number(_bucketed(slim, counts)), planned, block).withColumn("part", part)
     begins = placed.groupBy("source", "bucket", "part").agg(F.min("key").alias("low"), F.min("before").alias("before"))
     # as many as a bucket has parts, of which there are no more than tasks
     begins = begins.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(F.struct("low", "part", "before"))).alias("begins"))
@@ -226,7 +268,7 @@ def mix(
     dealt = whole.repartitionById(parts, "part")  # the window below finds its rows together
     place = F.row_number().over(Window.partitionBy("part", "source", "bucket").orderBy("key"))
     dealt = dealt.withColumn("idx", F.col("before") + place - 1)
-    return _placed(dealt, phases, block).sortWithinPartitions("position").select("doc.*")
+    return _placed(dealt, planned, block).sortWithinPartitions("position").select("doc.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

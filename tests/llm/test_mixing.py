@@ -61,7 +61,7 @@ def test_whole_schedule_against_slot_by_slot(spark, block, period, weights):
     rows = [(i, f"t{i}", s or None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mx.schedule(docs, weights, block=block, period=period).select("doc.doc_id", "source", "block", "slot", "phase", "position").collect()
-    check(got, sizes, weights or {s: n**mx.TEMPERATURE for s, n in sizes.items()}, block, period)
+    check(got, sizes, weights or mx.default_weights(sizes), block, period)
     assert {r.doc_id for r in got} == {r[0] for r in rows}
 
 
@@ -69,7 +69,7 @@ def test_query(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mx, "BUCKET_ROWS", 100)
     got = mx.op1_mixing(spark, sf_dir).collect()
     sizes = {r.source: r["count"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count().collect()}
-    check(got, sizes, {s: n**mx.TEMPERATURE for s, n in sizes.items()}, mx.BLOCK_ROWS, mx.PERIOD)
+    check(got, sizes, mx.default_weights(sizes), mx.BLOCK_ROWS, mx.PERIOD)
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
@@ -142,3 +142,34 @@ def test_every_prefix_is_near_the_target_weights(weights):
             for k, t in enumerate(slots):  # just before and just after each block
                 assert k - w * t > -1 and k + 1 - w * (t + 1) < 1
             assert len(slots) - w * sum(map(len, of.values())) > -1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdef", max_size=3), st.tuples(st.integers(1, 300), st.integers(1, 7)), min_size=1, max_size=7), st.integers(1, 3))
+def test_repeated_periods_equal_slot_by_slot(of, block):
+    sizes, weights = {s: n for s, (n, _) in of.items()}, {s: w for s, (_, w) in of.items()}
+    phases, at = mx.plan(sizes, weights, block), {}
+    for s, _, first, end, start, slots in phases:
+        assert len(slots.dealt) <= sum(weights.values())
+        for k in range(first, end):
+            at[start + slots[k - first] * block] = (s, k)
+    assert [at[p] for p in sorted(at)] == slow_order(sizes, weights, block, None)
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_rows_over_many_periods(spark, monkeypatch, chunk):
+    monkeypatch.setattr(mx, "CHUNK", chunk)
+    sizes, weights = {"a": 610, "b": 70, "": 333}, {"a": 0.3, "b": 0.1, "": 0.5}
+    rows = [(i, f"t{i}", s or None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mx.schedule(docs, weights, block=2).select("source", "block", "position").collect(), sizes, weights, 2, None)
+
+
+def test_default_weights_do_not_grow_with_the_rows():
+    sizes = {"hot": 10**10, "b": 10**9, "c": 5, "d": 0}
+    weights, exact = mx.default_weights(sizes), {s: n**mx.TEMPERATURE for s, n in sizes.items()}
+    for s, n in exact.items():
+        assert abs(weights[s] - max(1, mx.SHARES * n / sum(exact.values()))) <= 0.5
+    phases = mx.plan(sizes, weights, mx.BLOCK_ROWS)
+    assert sum(len(slots) for *_, slots in phases) == sum(-(-n // mx.BLOCK_ROWS) for n in sizes.values())
+    assert sum(len(slots.dealt) for *_, slots in phases) <= 3 * (mx.SHARES + len(sizes))
