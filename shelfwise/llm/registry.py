@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import shelfwise
-from shelfwise.llm import embeddings, exact_dedup, langid, mixing, pages, pieces, sharding, simhash, token_counts, toxicity
+from shelfwise.llm import embeddings, exact_dedup, langid, mixing, pages, pieces, sharding, simhash, token_counts, toxicity, whitening
 
 
 _ROOT = str(Path(shelfwise.__file__).resolve().parent.parent)
@@ -48,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_embeddings": embeddings.op10_embeddings,
+        "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _shipped(query) for name, query in found.items()}
