@@ -1,0 +1,157 @@
+import array
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from shelfwise.llm import packing as pk
+from shelfwise.llm.pieces import model_path
+
+PATH = model_path(pk.TOKENIZER)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def check(rows, docs, library, capacity=1024):
+    """Pieces are those of the documents, and sequences are filled without gaps or overlaps."""
+    want = Counter()
+    for doc_id, text, *_ in docs:
+        ids = ids_of(library, text)
+        first = (len(ids) - 1) % capacity + 1
+        for piece, (a, b) in enumerate([(0, first)] + [(s, s + capacity) for s in range(first, len(ids), capacity)]):
+            want[doc_id, piece, a, b - a, zlib.crc32(array.array("I", ids[a:b]).tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(sequences), -(-sum(r.length for r in rows) // capacity)
+
+
+def test_given_documents(spark, sf_dir, library):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    used, bound = check(pk.op12_packing(spark, sf_dir).collect(), docs, library)
+    assert used <= bound * 1.01
+
+
+def test_odd_rows(spark, write, odd_docs, library):
+    docs = [*odd_docs, (20, "a <|endoftext|> b", "en", "a", 1), (21, "x" * 5000, "en", "a", 1), (None, None, None, None, None)]
+    folder = write(docs)
+    frame = spark.read.parquet(f"{folder}/documents.parquet")
+    assert frame.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
+    check(pk.op12_packing(spark, folder).collect(), docs, library)
+    check(pk.pack(frame, capacity=7).collect(), docs, library, 7)
+    assert pk.pack(frame.where("doc_id < -9")).count() == 0
+    assert pk.pack(frame.where("text IS NULL"), end=None).count() == 0  # nothing to place
+
+
+def test_ranks_over_many_tasks(spark, library):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choices("alpha beta gamma delta".split(), k=rng.choice([3, 3, 3, 9, 700, 1100])))) for i in range(400)]
+    frame = spark.createDataFrame([(*d, "p", 1) for d in docs], "doc_id long, text string, part string, nth long").repartition(13)
+    check(pk.pack(frame).collect(), docs, library)
+
+
+def test_sequences_hold_the_ids(spark, write, odd_docs, library):
+    folder = write(odd_docs)
+    packed = pk.pack(spark.read.parquet(f"{folder}/documents.parquet"), with_ids=True)
+    made = pk.sequences(packed).collect()
+    assert all(len(r.ids) == 4 * r.n_tokens <= 4 * 1024 for r in made)
+    total = sum(len(ids_of(library, r[1])) for r in odd_docs)
+    assert sum(r.n_tokens for r in made) == total and sum(len(r.documents) for r in made) == packed.count()
+
+
+def test_fast_reader_equals_the_library_for_every_character(library):
+    fast = pk.Encoder(PATH)
+    assert fast.fast is not None
+    letters = [chr(c) for c in [*range(0x20000), *range(0x20000, 0x110000, 61)] if not 0xD800 <= c < 0xE000]  # beyond are ideographs and unassigned ones
+    for k in range(0, len(letters), 100_000):
+        text = "".join(f"a{c}b {c} 1{c}{c}\n" for c in letters[k : k + 100_000])
+        assert array.array("I", fast(text)).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aé1 \n\t\r'sd.,<|>½ xẞ字"), max_size=60))
+def test_fast_reader_equals_the_library(text):
+    encoder = pk._encoder(PATH)
+    assert array.array("I", encoder(text)).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_models_go_through_the_library():
+    path = model_path("word_bpe_49k.json")
+    encoder = pk.Encoder(path)
+    assert encoder.fast is None
+    assert array.array("I", encoder("Some words, again")).tolist() == Tokenizer.from_file(path).encode("Some words, again", add_special_tokens=False).ids
+
+
+def fewest(lengths, capacity):
+    """Optimal number of sequences of a few pieces, by exhaustive search."""
+    best = len(lengths)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for b in {x: k for k, x in enumerate(bins)}.values():
+            if bins[b] + lengths[i] <= capacity:
+                bins[b] += lengths[i]
+                go(i + 1, bins)
+                bins[b] -= lengths[i]
+        go(i + 1, [*bins, lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    go(0, [])
+    return best
+
+
+def planned(counts, capacity):
+    patterns = pk.plan(counts, capacity)
+    used = Counter()
+    for lengths, times in patterns:
+        assert times > 0 and sum(lengths) <= capacity
+        for length in lengths:
+            used[length] += times
+    assert used == +Counter(counts)
+    return sum(times for _, times in patterns)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_plan_is_near_the_optimum(lengths):
+    assert planned(Counter(lengths), 20) <= fewest(lengths, 20) + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 10**12), max_size=64))
+def test_plan_of_any_counts(counts):
+    used = planned(counts, 64)
+    total, large = sum(k * n for k, n in counts.items()), sum(n for k, n in counts.items() if k > 32)
+    assert max(-(-total // 64), large) <= used <= max(2 * -(-total // 64), large + 1)
+
+
+def test_exact_fills_of_two_three_and_four_pieces():
+    assert planned({60: 5, 40: 5}, 100) == 5
+    assert planned({60: 5, 25: 5, 15: 5}, 100) == 5
+    assert planned({52: 4, 20: 4, 16: 4, 12: 4}, 100) == 4
+    assert planned({25: 4}, 100) == 1 and planned({100: 10**9}, 100) == 10**9
+    patterns = pk.plan(Counter(random.Random(1).choices(range(1, 1025), k=200_000)), 1024)
+    assert sum(map(len, (p for p, _ in patterns))) < 8 * 1024  # what is broadcast does not follow the pieces
