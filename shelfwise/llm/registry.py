@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 import shelfwise
-from shelfwise.llm import embeddings, exact_dedup, langid, mixing, packing, pages, pieces, sharding, simhash, token_counts, toxicity, whitening
+from shelfwise.llm import collocations, embeddings, exact_dedup, langid, mixing, packing, pages, pieces, sharding, simhash, token_counts, toxicity, whitening
 
 
 _ROOT = str(Path(shelfwise.__file__).resolve().parent.parent)
@@ -48,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_embeddings": embeddings.op10_embeddings,
+        "op11_collocations": collocations.op11_collocations,
         "op12_packing": packing.op12_packing,
         "op13_whitening": whitening.op13_whitening,
         "pipeline": corpus_pipeline.run,
@@ -56,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL, "op10_embeddings": embeddings.OP10_SQL}
+    return {"op11_collocations": collocations.OP11_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_embeddings": embeddings.OP10_SQL}
