@@ -31,43 +31,61 @@ def position_bucket(df: DataFrame, pos: str) -> Column | None:
     return at * per + F.least(inside, F.lit(per - 1))
 
 
-def number_rows(df: DataFrame, buckets: Sequence[Column], order: Sequence[str], name: str) -> DataFrame:
-    """Add a 1-based ordinal ``name`` over the order (``buckets``, ``order``).
-
-    The buckets must be a prefix of the order. Only the row count of each bucket meets in one
-    partition, to become an offset; rows are numbered inside their bucket and the offset is added.
-    Without buckets all rows are numbered in one task.
+def _offsets(counts: DataFrame, within: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows before each bucket (``within``, ``keys``), from its count ``__n``: sums over the buckets
+    of one parent, then over the parents, level by level. Only the counts of the first key meet."""
+    out, total = None, counts
+    for level in range(len(keys), 0, -1):
+        own, parent = [*within, *keys[:level]], [*within, *keys[: level - 1]]
+        before = Window.partitionBy(*parent).orderBy(keys[level - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        sums = total.select(*own, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__before{level}"))
+        out = sums if out is None else out.join(sums, own)
+        total = total.groupBy(*parent).agg(F.sum("__n").alias("__n")) if parent else total
+    added = sum((F.col(f"__before{level}") for level in range(2, len(keys) + 1)), F.col("__before1"))
+    return out.select(*[F.col(k).alias(f"{k}o") for k in (*within, *keys)], added.alias("__offset"))
+
+
+def number_rows(df: DataFrame, buckets: Sequence[Column], order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """Add a 1-based ordinal ``name`` over the order (``buckets``, ``order``), for each value of the
+    columns ``within`` on its own.
+
+    The buckets must be a prefix of the order, without nulls. Rows are numbered inside their bucket
+    and an offset is added, worked out from the buckets' row counts level by level: one row for each
+    value of the first bucket meets in one task, however many buckets there are below. Without
+    buckets all rows (``within``) are numbered in one task.
     """
     if not buckets:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)).cast("long"))
     keys = [f"__b{i}" for i in range(len(buckets))]
     keyed = df.withColumns(dict(zip(keys, buckets, strict=True)))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*keys)
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"{k}o") for k in keys], "__offset")
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    match = [F.col(k).eqNullSafe(F.col(f"{k}o")) for k in keys]
+    offsets = _offsets(keyed.groupBy(*within, *keys).agg(F.count("*").alias("__n")), within, keys)
+    inside = F.row_number().over(Window.partitionBy(*within, *keys).orderBy(*order)).cast("long")
+    # no nulls, so plain equality: the rows stay where the window has put them
+    match = [F.col(k) == F.col(f"{k}o") for k in (*within, *keys)]
     return (
         keyed.withColumn("__inside", inside)
         .join(offsets, match)
         .withColumn(name, F.col("__offset") + F.col("__inside"))
-        .drop(*keys, *[f"{k}o" for k in keys], "__inside", "__offset")
+        .drop(*keys, *[f"{k}o" for k in (*within, *keys)], "__inside", "__offset")
     )
 
 
-def by_position(df: DataFrame, pos: str, name: str) -> DataFrame:
+def _position_buckets(df: DataFrame, pos: str) -> list[Column]:
     bucket = position_bucket(df, pos)
-    return number_rows(df, [] if bucket is None else [bucket], [pos], name)
+    return [] if bucket is None else [F.coalesce(bucket, F.lit(-1))]  # null positions come first
+
+
+def by_position(df: DataFrame, pos: str, name: str) -> DataFrame:
+    return number_rows(df, _position_buckets(df, pos), [pos], name)
 
 
 def by_duration(df: DataFrame, name: str) -> DataFrame:
-    """Ordinal by (duration, pos). A hot duration is cut further by position."""
-    bucket = position_bucket(df, "pos")
-    return number_rows(df, [] if bucket is None else [F.col("duration"), bucket], ["duration", "pos"], name)
+    """Ordinal by (duration, pos), nulls first. A hot duration is cut further by position; stretches
+    of durations, a single one if all are valid, bound what meets in one task should corrections
+    have left any whole number."""
+    bucket = _position_buckets(df, "pos")
+    duration = F.coalesce(F.col("duration").cast("long"), F.lit(-(1 << 31) - 1))
+    return number_rows(df, [F.floor(duration / 4096), duration, *bucket] if bucket else [], ["duration", "pos"], name)
 
 
 #: How a running measure is summed up over a bucket, and how two stretches of it combine.

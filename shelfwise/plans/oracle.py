@@ -70,6 +70,13 @@ FROM probe LEFT JOIN hit ON term = title AND rn = 1""",
         "apply_corrections": f"""WITH {_CAT} SELECT pos, CASE WHEN pos % 17 = 0 THEN '' ELSE title END AS title,
 CASE WHEN pos % 17 = 2 THEN 'guest of ' || host WHEN pos % 17 = 3 THEN '' ELSE host END AS host,
 CAST(CASE WHEN pos % 17 = 1 THEN 5000 ELSE duration END AS INTEGER) AS duration FROM cat""",
+        "apply_correction_feed": f"""WITH {_CAT}, feed AS (SELECT user_id AS fix, event_id AS seq,
+  CASE WHEN event_type IN ('click', 'signup') THEN CASE WHEN event_id % 11 = 0 THEN '' ELSE 'title ' || CAST(event_id % 97 AS VARCHAR) END END AS new_title,
+  CASE WHEN event_type IN ('view', 'signup') THEN 'host ' || CAST(event_id % 89 AS VARCHAR) END AS new_host,
+  CASE WHEN event_type = 'purchase' THEN CAST(floor(value) * 10 - 100 AS INTEGER) END AS new_duration FROM events),
+last AS (SELECT fix, arg_max(new_title, seq) FILTER (WHERE new_title IS NOT NULL) AS new_title, arg_max(new_host, seq) FILTER (WHERE new_host IS NOT NULL) AS new_host,
+  arg_max(new_duration, seq) FILTER (WHERE new_duration IS NOT NULL) AS new_duration FROM feed GROUP BY fix)
+SELECT pos, COALESCE(new_title, title) AS title, COALESCE(new_host, host) AS host, COALESCE(new_duration, duration) AS duration FROM cat LEFT JOIN last ON fix = pos""",
         "record_defaults": f"""WITH {_CAT} SELECT pos, CASE WHEN pos % 5 = 0 THEN '' ELSE title END AS title,
 CASE WHEN pos % 7 = 0 THEN '' ELSE host END AS host, CASE WHEN pos % 4 = 0 THEN 0 ELSE duration END AS duration FROM cat""",
         "commands_effective": f"WITH {_STATE} SELECT session_id, seq, choice, title, host, duration FROM state WHERE choice <> 5",

@@ -63,8 +63,9 @@ def queries() -> dict[str, Query]:
         "title_lookup_batch": lambda s, d: cat.find_titles(src.catalogue(s, d), src.probes(s, d)),
         "sort_by_duration": lambda s, d: cat.sort_by_duration(src.catalogue(s, d)),
         "resequence_by_duration": lambda s, d: cat.resequence_by_duration(src.catalogue(s, d)),
-        "title_lookup_after_sort": lambda s, d: cat.find_title(cat.resequence_by_duration(src.catalogue(s, d)), TERM),
+        "title_lookup_after_sort": lambda s, d: cat.find_title_after_sort(src.catalogue(s, d), TERM),
         "apply_corrections": lambda s, d: cat.correct(src.catalogue(s, d), src.corrections(s, d)),
+        "apply_correction_feed": lambda s, d: cat.correct(src.catalogue(s, d), src.correction_feed(s, d)),
         "record_defaults": lambda s, d: cat.fill_defaults(src.incomplete_records(s, d)),
         "commands_effective": lambda s, d: cmd.effective(src.commands(s, d)),
         "replay_search": lambda s, d: cmd.replay_search(src.commands(s, d)),

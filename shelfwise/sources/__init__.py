@@ -57,11 +57,22 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.col("p_partkey")
     return read_table(spark, sf_dir, "part").where((pos % 17).isin(0, 1, 2, 3)).select(
-        pos.alias("pos"), F.when(pos % 17 == 0, "").alias("new_title"),
+        pos.alias("pos"), pos.alias("seq"), F.when(pos % 17 == 0, "").alias("new_title"),
         F.when(pos % 17 == 2, F.concat(F.lit("guest of "), F.col("p_brand"))).when(pos % 17 == 3, "").alias("new_host"), F.when(pos % 17 == 1, 5000).alias("new_duration"),
     )
 
 
+def correction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections in the order they came, many for a position: some set two fields, some none."""
+    kind, seq = F.col("event_type"), F.col("event_id")
+    named = F.when(seq % 11 == 0, "").otherwise(F.concat(F.lit("title "), (seq % 97).cast("string")))
+    return read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("pos"), seq.alias("seq"), F.when(kind.isin("click", "signup"), named).alias("new_title"),
+        F.when(kind.isin("view", "signup"), F.concat(F.lit("host "), (seq % 89).cast("string"))).alias("new_host"),
+        F.when(kind == "purchase", (F.floor("value") * 10 - 100).cast("int")).alias("new_duration"),
+    )
+
+
 def incomplete_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue with some of each field missing, alone and together."""
     pos = F.col("pos")

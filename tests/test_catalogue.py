@@ -95,12 +95,95 @@ def test_ordinals_of_many_rows_do_not_meet_in_one_task(spark, sf_dir, monkeypatc
     from shelfwise.sources import catalogue
 
     monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", 100)
-    plan = cat.resequence_by_duration(catalogue(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SinglePartition") == 1  # the counts of the buckets
+    items = catalogue(spark, sf_dir)
+    moved = cat.resequence_by_duration(items)
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1  # one row for each stretch of durations
+    assert moved.orderBy("pos").collect() == [(i, *r[1:]) for i, r in enumerate(items.orderBy("duration", "pos").collect(), 1)]
+
+
+@pytest.mark.parametrize("keys", [1, 3])
+def test_offsets_meet_level_by_level(spark, keys):
+    """Whatever the number of buckets, the single task gets one row for each value of the first key."""
+    from shelfwise.operators import numbering
+
+    rows = [(a, b, c, 1 + (a + b + c) % 3) for a in (-2, 0, 5) for b in range(4) for c in range(7)]
+    counts = spark.createDataFrame(rows, "k0 long, k1 long, k2 long, __n long")
+    names = [f"k{i}" for i in range(keys)]
+    from pyspark.sql import functions as F
+
+    counts = counts.groupBy(*names).agg(F.sum("__n").alias("__n"))
+    got = {tuple(r[:-1]): r[-1] for r in numbering._offsets(counts, [], names).collect()}
+    want, total = {}, 0
+    for r in sorted(counts.collect()):
+        want[tuple(r[:-1])], total = total, total + r[-1]
+    assert got == want
+    plan = numbering._offsets(counts, [], names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1
+
+
+def test_ordinals_of_any_durations(spark, monkeypatch):
+    from shelfwise.operators import numbering
+
+    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", 5)
+    odd = [None, -(2**31), 2**31 - 1, 0, 5000, 4095, 4096, -1]
+    rows = [(p if p else None, "t", "h", odd[p * 5 % 8]) for p in range(40)]
+    got = {(r.pos, r.duration): r.n for r in by_duration(_catalogue(spark, rows), "n").collect()}
+    low = -(2**31) - 1
+    order = sorted(rows, key=lambda r: (low if r[3] is None else r[3], -1 if r[0] is None else r[0]))
+    assert got == {(r[0], r[3]): i for i, r in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("duration", [3, None])
+def test_search_after_a_sort_counts_and_does_not_number(spark, tmp_path, duration):
+    rows = [(p, f"t{p % 9}", "h", None if p % 11 == 0 else p * 7 % 5) for p in range(60)] + [(60, "only", "h", duration), (61, None, "h", 2), (None, "t3", "g", 0)]
+    _catalogue(spark, rows).write.parquet(str(tmp_path / "items"))
+    items = spark.read.parquet(str(tmp_path / "items"))
+    for term in ("t3", "t0", "only", "nowhere", "T3"):
+        want = cat.find_title(cat.resequence_by_duration(items), term)
+        got = cat.find_title_after_sort(items, term)
+        assert got.collect() == want.collect() and got.dtypes == want.dtypes
+    plan = cat.find_title_after_sort(items, "only")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "duration" in plan.split("PushedFilters")[1] and "title" not in plan.split("ReadSchema")[1]
+
+
+def test_batch_search_leaves_out_what_no_probe_asks_for(spark, monkeypatch):
+    items = _catalogue(spark, [(p, f"t{p % 500}", "h", 1) for p in range(3000)] + [(-1, None, "h", 1)])
+    probes = spark.createDataFrame([(i, f"t{i}") for i in range(5)] + [(9, "none"), (10, "t3")], schemas.PROBE)
+    assert cat._asked_for(items, probes).count() <= 40  # 30 asked for, and a chance meeting at most
+    got = {r.probe_id: (r.outcome, r.pos) for r in cat.find_titles(items, probes).collect()}
+    assert got == {**{i: ("found", i) for i in range(5)}, 9: ("not_found", None), 10: ("found", 3)}
+    monkeypatch.setattr(cat, "TITLE_HASHES", 1)  # a filter that lets all through changes nothing
+    assert {r.probe_id: (r.outcome, r.pos) for r in cat.find_titles(items, probes).collect()} == got
 
 
 def test_defaults_and_corrections(spark):
     items = _catalogue(spark, [(1, "a", "h", 3), (2, None, None, None)])
-    fixes = spark.createDataFrame([(1, "", None, 5000), (9, "z", "z", 1)], schemas.CORRECTION)
+    fixes = spark.createDataFrame([(1, 1, "", None, 5000), (9, 2, "z", "z", 1)], schemas.CORRECTION)
     got = sorted(map(tuple, cat.fill_defaults(cat.correct(items, fixes)).collect()))
     assert got == [(1, "", "h", 5000), (2, "", "", 0)]
+
+
+def test_the_last_correction_of_each_field_stands(spark):
+    items = _catalogue(spark, [(1, "a", "h", 3), (2, "b", "h", 3), (2, "c", "h", 4), (3, "d", "h", 5)])
+    feed = [(1, 5, "late", None, None), (1, 2, "early", "new host", None), (1, 9, None, None, None), (2, 1, None, None, 0), (2, 4, None, None, -7),
+            (None, 1, "x", "x", 1), (8, 1, "x", "x", 1), (3, 6, "m", None, None), (3, 6, "k", "tie", None), (3, None, "oldest", "oldest", 9)]
+    got = cat.correct(items, spark.createDataFrame(feed, schemas.CORRECTION))
+    assert sorted(map(tuple, got.collect())) == [(1, "late", "new host", 3), (2, "b", "h", -7), (2, "c", "h", -7), (3, "m", "tie", 9)]
+    assert cat.correct(items, spark.createDataFrame([], schemas.CORRECTION)).count() == 4
+
+
+def test_random_corrections_against_setters(spark):
+    import random
+
+    rng = random.Random(4)
+    records = {p: ["t", "h", 1] for p in range(20)}
+    feed = [(rng.randrange(25), q, *(rng.choice([None, None, x]) for x in (f"t{q}", f"h{q}", q))) for q in range(300)]
+    for pos, _, *fields in feed:
+        for i, value in enumerate(fields):
+            if pos in records and value is not None:
+                records[pos][i] = value
+    rng.shuffle(feed)
+    items = _catalogue(spark, [(p, "t", "h", 1) for p in range(20)])
+    got = cat.correct(items, spark.createDataFrame(feed, schemas.CORRECTION))
+    assert {r.pos: [*r[1:]] for r in got.collect()} == records
