@@ -5,22 +5,33 @@ added before it stand first by (duration, add order), later ones follow in add o
 command's outcome follows from running aggregates; nothing is replayed row by row.
 """
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import (
     FIRST_CHOICE, LAST_CHOICE, MAX_DURATION, MIN_DURATION, in_range, non_empty, parse_int,
 )
-from shelfwise.operators.numbering import least_of_key, position_bucket, running
+from shelfwise.operators.numbering import least_of_key, number_rows, position_bucket, running
 
 ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
-#: Commands of a session that one task replays; if any session has more, sessions are split.
+#: Commands of a session that one task replays; sessions with more are split.
 _ROWS_PER_TASK = 5_000_000
+#: Lines of a list that a view joins at a time, and records of a list that are ranked together.
+_LINES_PER_BLOCK = 10_000
 
 
-def _has_hot_session(commands: DataFrame) -> bool:
-    """Reads the session column only."""
-    return not commands.groupBy("session_id").count().where(F.col("count") > _ROWS_PER_TASK).isEmpty()
+def _by_heat(commands: DataFrame, replay: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """Replays sessions of usual length in one window each, and only those measured to be longer
+    than one task takes in two levels. Reads the session column first; the ids of hot sessions are
+    at most one for every _ROWS_PER_TASK commands."""
+    hot = commands.groupBy("session_id").count().where(F.col("count") > _ROWS_PER_TASK).select("session_id").collect()
+    if not hot:
+        return replay(commands, False)
+    ids = F.broadcast(commands.sparkSession.createDataFrame(hot, commands.select("session_id").schema))
+    match = commands["session_id"].eqNullSafe(ids["session_id"])
+    return replay(commands.join(ids, match, "left_anti"), False).unionByName(replay(commands.join(ids, match, "left_semi"), True))
 
 
 def _bucket(rows: DataFrame, order: str, split: bool):
@@ -51,27 +62,28 @@ def parse_choices(commands: DataFrame) -> DataFrame:
 
 
 def effective(commands: DataFrame) -> DataFrame:
-    kept = _with_state(commands, _has_hot_session(commands)).where(F.col("choice") != EXIT)
+    kept = _by_heat(commands, _with_state).where(F.col("choice") != EXIT)
     return kept.select("session_id", "seq", "choice", "title", "host", "duration")
 
 
-def _answers(state: DataFrame, split: bool) -> DataFrame:
-    """Searches with ``hit`` (duration, add_seq, host), null for a miss.
+def _answered(state: DataFrame, split: bool) -> DataFrame:
+    """Adds ``hit`` (duration, add_seq, host), what a search finds; null for a miss and for others.
 
     Adds and searches of a title meet in one order: a search stands at the moment of its last
     sort and takes the least (duration, seq) added by then, or else the first record of that
-    title if it was added before the search itself.
+    title if it was added before the search itself. Other commands stand among them without
+    effect, so that all rows stay in one table, dealt by session once.
     """
-    is_add = F.col("choice") == ADD
-    asked = state.where(F.col("choice").isin(ADD, SEARCH)).withColumn("at", F.when(is_add, F.col("seq")).otherwise(F.coalesce("s_last", F.lit(-1))))
+    is_add, is_search = F.col("choice") == ADD, F.col("choice") == SEARCH
+    placed = state.withColumn("at", F.when(is_search, F.coalesce("s_last", F.lit(-1))).otherwise(F.col("seq")))
     by_sort = F.struct("duration", F.col("seq").alias("add_seq"), "host")
     by_entry = F.struct(F.col("seq").alias("add_seq"), "duration", "host")
     key = ["session_id", "title"]
     measures = {"sorted": ("min", F.when(is_add, by_sort))}
-    sorted_in = running(asked, key, _bucket(asked, "at", split), ["at", "choice"], measures, split)
+    sorted_in = running(placed, key, _bucket(placed, "at", split), ["at", "choice"], measures, split)
     found = least_of_key(sorted_in, key, "entered", F.when(is_add, by_entry), split)
     late = F.when(F.col("entered.add_seq") < F.col("seq"), F.struct("entered.duration", "entered.add_seq", "entered.host"))
-    return found.where(F.col("choice") == SEARCH).withColumn("hit", F.coalesce("sorted", late))
+    return found.withColumn("hit", F.when(is_search, F.coalesce("sorted", late)))
 
 
 def _search_outcome():
@@ -80,45 +92,76 @@ def _search_outcome():
 
 def replay_search(commands: DataFrame) -> DataFrame:
     """What each search would have shown at that moment."""
-    split = _has_hot_session(commands)
-    return _answers(_with_state(commands, split), split).select(
+    def replay(log: DataFrame, split: bool) -> DataFrame:
+        asked = _with_state(log, split).where(F.col("choice").isin(ADD, SEARCH))
+        return _answered(asked, split).where(F.col("choice") == SEARCH)
+
+    return _by_heat(commands, replay).select(
         "session_id", "seq", F.col("title").alias("term"), _search_outcome().alias("outcome"),
         F.col("hit.host").alias("host"), F.col("hit.duration").alias("duration"),
     )
 
 
+_RECORD = ("title", "host", "duration")
+
+
+def _sorted_lines(state: DataFrame, adds: DataFrame, views: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
+    """(session_id, epoch, ordinal, add_seq, record) of the lists as each sort that a view shows
+    has left them: ranked once a sort, whatever the number of views.
+
+    A sort meets the records in blocks by their place in the log, so a long session is many keys.
+    """
+    block = F.floor(F.col("add_index") / _LINES_PER_BLOCK)
+    seen = views.where("s_last IS NOT NULL").select("session_id", F.col("s_last").alias("seq")).distinct()
+    sorts = state.where((F.col("choice") == SORT) & (F.col("n_before") > 0)).join(seen, ["session_id", "seq"], "left_semi")
+    last = F.floor((F.col("n_before") - 1) / _LINES_PER_BLOCK)
+    epochs = sorts.select(F.col("session_id").alias("of_session"), F.col("seq").alias("epoch"), F.col("n_before").alias("records"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("of_block"))
+    records = adds.withColumn("block", block)
+    met = records.join(epochs, (F.col("session_id") == F.col("of_session")) & (F.col("block") == F.col("of_block")) & (F.col("add_index") < F.col("records")))
+    buckets = [F.col("duration"), F.col("block")] if split else []
+    ranked = number_rows(met, buckets, ["duration", "add_index"], "ordinal", ["session_id", "epoch"])
+    if max_lines is not None:
+        ranked = ranked.where(F.col("ordinal") <= max_lines)
+    return ranked.select("session_id", "epoch", "ordinal", "add_seq", *_RECORD)
+
+
+def _lines(log: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
+    state = _with_state(log, split)
+    views = state.where(F.col("choice") == VIEW)
+    adds = state.where(F.col("choice") == ADD).select("session_id", "s_last", F.col("seq").alias("add_seq"), F.col("n_before").alias("add_index"), *_RECORD)
+    shown = F.col("n_before") if max_lines is None else F.least("n_before", F.lit(max_lines).cast("long"))
+    # records added after the last sort follow in the order they came: their place never changes
+    late = adds.select("session_id", F.coalesce("s_last", F.lit(-1)).alias("epoch"), (F.col("add_index") + 1).alias("ordinal"), "add_seq", *_RECORD)
+    late = late if max_lines is None else late.where(F.col("ordinal") <= max_lines)
+    lines = late.unionByName(_sorted_lines(state, adds, views, split, max_lines))
+    lines = lines.withColumn("block", F.floor((F.col("ordinal") - 1) / _LINES_PER_BLOCK)).withColumnRenamed("session_id", "of_session").withColumnRenamed("epoch", "of_epoch")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((shown - 1) / _LINES_PER_BLOCK)))
+    asked = views.where(shown > 0).select("session_id", "seq", F.coalesce("s_last", F.lit(-1)).alias("epoch"), blocks.alias("asked_block"))
+    match = (F.col("session_id") == F.col("of_session")) & (F.col("epoch") == F.col("of_epoch")) & (F.col("asked_block") == F.col("block"))
+    return asked.join(lines, match & (F.col("add_seq") < F.col("seq")))
+
+
 def replay_view(commands: DataFrame, max_lines: int | None = None) -> DataFrame:
     """The numbered list that each view would have shown; the output is as long as those lists.
 
-    ``max_lines`` shows only the head of each list.
+    Views of the same sort share its ranks; records added since then have the place at which they
+    were added. Views meet their lines by session, sort and block of lines, so neither a long list
+    nor a session with many views is one key. ``max_lines`` shows only the head of each list, and
+    cuts the lists before views meet them.
     """
-    state = _with_state(commands, _has_hot_session(commands))
-    views = state.where(F.col("choice") == VIEW).select("session_id", "seq", "s_last")
-    adds = state.where(F.col("choice") == ADD).select(
-        F.col("session_id").alias("add_session"), F.col("seq").alias("add_seq"), "title", "host", "duration"
-    )
-    shown = views.join(adds, (F.col("session_id") == F.col("add_session")) & (F.col("add_seq") < F.col("seq")))
-    sorted_in = F.coalesce(F.col("add_seq") < F.col("s_last"), F.lit(False))
-    order = (F.when(sorted_in, 0).otherwise(1), F.when(sorted_in, F.col("duration")).otherwise(0), F.col("add_seq"))
-    ordinal = F.row_number().over(Window.partitionBy("session_id", "seq").orderBy(*order)).cast("long")
-    lines = shown.withColumn("ordinal", ordinal)
-    if max_lines is not None:
-        lines = lines.where(F.col("ordinal") <= max_lines)
-    return lines.select("session_id", "seq", "ordinal", "title", "host", "duration")
+    lines = _by_heat(commands, lambda log, split: _lines(log, split, max_lines))
+    return lines.select("session_id", "seq", "ordinal", *_RECORD)
 
 
 def outcomes(commands: DataFrame) -> DataFrame:
     """One row per effective command, with what it led to."""
-    split = _has_hot_session(commands)
-    state = _with_state(commands, split)
-    empty = F.col("n_before") == 0
-    other = (
+    told = (
         F.when(F.col("choice") == ADD, "added")
         .when(F.col("choice") == EXIT, "exiting")
-        .when(empty, "empty")
+        .when(F.col("choice") == SEARCH, _search_outcome())
+        .when(F.col("n_before") == 0, "empty")
         .when(F.col("choice") == VIEW, "listed")
         .otherwise("sorted")
     )
-    columns = ("session_id", "seq", "choice")
-    rest = state.where(F.col("choice") != SEARCH).select(*columns, other.alias("outcome"))
-    return rest.unionByName(_answers(state, split).select(*columns, _search_outcome().alias("outcome")))
+    done = _by_heat(commands, lambda log, split: _answered(_with_state(log, split), split))
+    return done.select("session_id", "seq", "choice", told.alias("outcome"))
