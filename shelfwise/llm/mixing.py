@@ -12,6 +12,7 @@ phase begins, so that all rows are placed; the bound holds within each phase.
 
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
@@ -123,12 +124,15 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
     while left:
         quota = quotas({s: weights[s] for s in left}, period)
         length, dealt = sum(quota.values()), {s: array("q") for s in left}
-        for slot, s in enumerate(islice(_deal(quota), length)):
+        slot = -1
+        for s in _deal(quota):  # a period may be longer than the data, and than any machine word
+            slot += 1
             dealt[s].append(slot)
             if len(dealt[s]) == left[s]:
                 break
-        else:  # the period repeats until the first source runs out
-            slot, s = min((Slots(dealt[s], length, n)[n - 1], s) for s, n in left.items())
+            if slot + 1 == length:  # the period repeats until the first source runs out
+                slot, s = min((Slots(dealt[s], length, n)[n - 1], s) for s, n in left.items())
+                break
         turns, at = divmod(slot + 1, length)
         taken = {s: Slots(of, length, turns * len(of) + bisect_left(of, at)) for s, of in dealt.items()}
         phases += [(s, phase, done[s], done[s] + len(taken[s]), start, taken[s]) for s in left]
@@ -141,16 +145,30 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block: int, peri
     return phases
 
 
-def _tables(phases: list[tuple]) -> tuple[pa.Table, pa.Table]:
-    """The plan as a row for each source and phase, and the slots of its period in rows of at most
-    CHUNK blocks, which blocks find by equality."""
+def _tables(phases: list[tuple]) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """The plan as tables: the width of each source's cells; a row for each source, phase and cell
+    of blocks that the phase reaches into; and the slots of a period in rows of at most CHUNK.
+
+    All are found by equality. A source has as many cells, of equal width, as phases, so its blocks
+    meet two phases each on average, however uneven the phases are.
+    """
     used = [p for p in phases if p[2] < p[3]]
-    spans = [(s, phase, first, end, start, len(slots.dealt), slots.period) for s, phase, first, end, start, slots in used]
+    blocks, turns = Counter(), Counter()
+    for s, _, first, end, _, _ in used:
+        blocks[s] += end - first
+        turns[s] += 1
+    width = {s: -(-n // turns[s]) for s, n in blocks.items()}
+    spans = [
+        # a period that is not over when the phase ends never repeats: its length plays no part
+        (s, cell, phase, first, end, start, len(slots.dealt), slots.period if len(slots) > len(slots.dealt) else 0)
+        for s, phase, first, end, start, slots in used for cell in range(first // width[s], (end - 1) // width[s] + 1)
+    ]
     cut = [(s, phase, low // CHUNK, slots.dealt[low : low + CHUNK]) for s, phase, *_, slots in used for low in range(0, len(slots.dealt), CHUNK)]
-    return _table(spans, _SPAN), _table(cut, _SLOTS)
+    return _table(list(width.items()), _WIDTH), _table(spans, _SPAN), _table(cut, _SLOTS)
 
 
-_SPAN = pa.schema([("p_source", pa.string()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("first", "end", "start_row", "quota", "period"))])
+_WIDTH = pa.schema([("w_source", pa.string()), ("width", pa.int64())])
+_SPAN = pa.schema([("p_source", pa.string()), ("cell", pa.int64()), ("phase", pa.int32()), *((c, pa.int64()) for c in ("first", "end", "start_row", "quota", "period"))])
 _SLOTS = pa.schema([("s_source", pa.string()), ("s_phase", pa.int32()), ("chunk", pa.int64()), ("slots", pa.list_(pa.int64()))])
 
 
@@ -194,7 +212,7 @@ def _rows(docs: DataFrame, source: Column | None, key: Column | None) -> DataFra
     return docs.select(F.struct("*").alias("doc"), source.cast("string").alias("source"), key.alias("key"))
 
 
-def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, period: int | None) -> tuple[dict[str, int], tuple[DataFrame, DataFrame]]:
+def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, period: int | None) -> tuple[dict[str, int], tuple[DataFrame, ...]]:
     """Row counts of the sources, and the tables of the plan, each broadcast if it is small enough."""
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -203,15 +221,16 @@ def _planned(rows: DataFrame, weights: Mapping[str, float] | None, block: int, p
     if missing := sorted(s for s in counts if weights.get(s, 0) <= 0):
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
     tables = [(t, rows.sparkSession.createDataFrame(t)) for t in _tables(plan(counts, weights, block, period))]
-    spans, slots = (F.broadcast(df) if t.nbytes <= BROADCAST_BYTES else materialise(df, "slots") for t, df in tables)
-    return counts, (spans, slots)
+    widths, spans, slots = (F.broadcast(df) if t.nbytes <= BROADCAST_BYTES else materialise(df, "slots") for t, df in tables)
+    return counts, (widths, spans, slots)
 
 
-def _placed(numbered: DataFrame, planned: tuple[DataFrame, DataFrame], block: int) -> DataFrame:
+def _placed(numbered: DataFrame, planned: tuple[DataFrame, ...], block: int) -> DataFrame:
     """Add block, slot, phase and position to rows that have their ``idx``."""
-    spans, slots = planned
-    numbered = numbered.withColumn("block", F.floor(F.col("idx") / block))
-    in_phase = (F.col("source") == F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
+    widths, spans, slots = planned
+    numbered = numbered.withColumn("block", F.floor(F.col("idx") / block)).join(widths, F.col("source") == F.col("w_source"))
+    of_cell = (F.col("source") == F.col("p_source")) & (F.floor(F.col("block") / F.col("width")) == F.col("cell"))
+    in_phase = of_cell & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
     nth = F.col("block") - F.col("first")
     found = numbered.join(spans, in_phase).withColumn("turn", F.floor(nth / F.col("quota"))).withColumn("at", F.pmod(nth, F.col("quota")))
     of_chunk = (F.col("source") == F.col("s_source")) & (F.col("phase") == F.col("s_phase")) & (F.floor(F.col("at") / CHUNK) == F.col("chunk"))

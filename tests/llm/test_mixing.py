@@ -173,3 +173,51 @@ def test_default_weights_do_not_grow_with_the_rows():
     phases = mx.plan(sizes, weights, mx.BLOCK_ROWS)
     assert sum(len(slots) for *_, slots in phases) == sum(-(-n // mx.BLOCK_ROWS) for n in sizes.values())
     assert sum(len(slots.dealt) for *_, slots in phases) <= 3 * (mx.SHARES + len(sizes))
+
+
+def test_any_positive_weights(spark):
+    """A weight that is nothing beside another: its block waits until the other source runs out."""
+    sizes = {"a": 40, "b": 6}
+    for weights in ({"a": 0.1, "b": 1e-20}, {"a": 1e-300, "b": 1e300}):
+        phases = mx.plan(sizes, weights, 2)
+        assert sum(p[3] - p[2] for p in phases) == 23
+    rows = [(i, s, "x") for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mx.schedule(docs, {"a": 0.1, "b": 1e-20}, block=2).collect()
+    assert sorted(r.position for r in got) == list(range(46))
+    assert [r.source for r in sorted(got, key=lambda r: r.position)] == ["a"] * 40 + ["b"] * 6
+
+
+def test_seven_digit_weights_over_a_million_blocks():
+    """The order of a period longer than the data is held as 8 bytes a block, no more."""
+    import tracemalloc
+
+    rows = {"a": 400_000, "b": 800_000, "c": 300_000}
+    weights = {"a": 0.2471113, "b": 0.5028887, "c": 0.25}
+    tracemalloc.start()
+    phases = mx.plan(rows, weights, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(p[3] - p[2] for p in phases) == 1_500_000 and peak < 60 << 20
+    for s, _, first, end, _, slots in phases[:3]:
+        for k in range(0, end - first, 997):
+            assert k / weights[s] - 1 < slots[k] < (k + 1) / weights[s] + 1
+
+
+def test_a_thousand_sources(spark):
+    """A source with hundreds of phases: its blocks meet about two of them each."""
+    import bisect
+
+    sizes = {f"s{i:04}": 3 + i for i in range(1000)}
+    phases = mx.plan(sizes, {s: 1 for s in sizes}, 3)
+    planned = mx._tables(phases)
+    own = [p for p in phases if p[0] == "s0999" and p[2] < p[3]]
+    blocks = -(-sizes["s0999"] // 3)
+    assert len(own) > 300 and planned[0].num_rows == 1000
+    width, spans = dict(zip(*(c.to_pylist() for c in planned[0].columns)))["s0999"], [r for r in planned[1].to_pylist() if r["p_source"] == "s0999"]
+    assert sum(sum(r["cell"] == k // width for r in spans) for k in range(blocks)) < 2.5 * blocks
+    rows = spark.range(sizes["s0999"]).select(F.lit("s0999").alias("source"), F.col("id").alias("idx"))
+    placed = mx._placed(rows, tuple(spark.createDataFrame(t) for t in planned), 3)
+    firsts = [p[2] for p in own]
+    want = [(i // 3, own[bisect.bisect_right(firsts, i // 3) - 1][1]) for i in range(sizes["s0999"])]
+    assert [(r.block, r.phase) for r in placed.orderBy("idx").collect()] == want
