@@ -34,11 +34,14 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def trigrams(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of the byte trigrams of a text, in chunks; letters only, runs of others are a space."""
+    """Buckets of the byte trigrams of a text, letters only, runs of others are a space. Texts of
+    any length are taken whole, in chunks that carry on the last two bytes of the one before."""
     raw = np.frombuffer(f" {text or ''} ".encode("utf-8", "surrogatepass"), np.uint8)
+    carried = np.zeros(0, np.uint32)
     for start in range(0, len(raw), _CHUNK):
-        b = _FOLD[raw[start : start + _CHUNK]]
+        b = np.concatenate([carried, _FOLD[raw[start : start + _CHUNK]]])
         b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))]
+        carried = b[-2:]
         if len(b) > 2:
             mixed = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)
             yield (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _BUCKET_BITS)

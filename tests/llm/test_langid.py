@@ -96,3 +96,12 @@ def test_odd_rows(spark, sf_dir, write, odd_docs):
     unlabelled = docs.drop("lang").selectExpr("*", "CAST(NULL AS STRING) AS lang")
     assert sorted(r.doc_id or 0 for r in li.keep_identified(unlabelled).collect()) == [0, 1, 2, 3, 7, 8, 9, 9, 10, 11]
     assert model.languages[int(np.argmax(model.score("日本語のテキスト"))) ] == li.UNKNOWN
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 10])
+def test_chunks_lose_no_trigram(monkeypatch, chunk):
+    for text in ("Straße  12, the quick -- brown fox, " * 4, "a", "", None, "   ", "  ab  ", "é" * 9):
+        whole = np.concatenate([*li.trigrams(text), np.zeros(0, np.uint32)])
+        with monkeypatch.context() as m:
+            m.setattr(li, "_CHUNK", chunk)
+            assert np.concatenate([*li.trigrams(text), np.zeros(0, np.uint32)]).tolist() == whole.tolist()
