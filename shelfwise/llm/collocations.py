@@ -151,16 +151,19 @@ class Vocabulary(dict):
         self.lang, self.frequent, self.seed, self.ids = lang, frequent, seed, [0]
         self[b"."] = 0
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_id(word, self.seed)
-        known = self.frequent.holds(_mix(self.lang, [np.array([h])]))[0]
-        if len(self) >= WORD_ENTRIES:  # others are looked up anew
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self)
+        if len(self) + len(new) > WORD_ENTRIES:  # words without a number are looked up anew
             for w in [w for w, n in self.items() if n == 0 and w != b"."]:
                 del self[w]
-        self[word] = len(self.ids) if known else 0
-        if known:
-            self.ids.append(h)
-        return self[word]
+            new = set(words).difference(self)
+        new = list(new)
+        ids = np.array([word_id(w, self.seed) for w in new], np.int64)
+        known = self.frequent.holds(_mix(self.lang, [ids]))
+        number = np.where(known, len(self.ids) + np.cumsum(known) - 1, 0)
+        self.ids += ids[known].tolist()
+        self.update(zip(new, number.tolist()))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     @property
     def full(self) -> bool:
@@ -244,8 +247,7 @@ class _Counting:
     def add(self, text: bytes) -> None:
         carry = np.zeros(0, np.int64)
         for words in words_of(text):
-            new = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
-            a = np.concatenate([carry, new])
+            a = np.concatenate([carry, self.vocabulary.numbers(words)])
             first, others = _phrases(a, len(carry), self.vocabulary, self.pairs)
             carry = a[-(LONGEST - 1) :]
             order = np.lexsort((others, first))
