@@ -36,6 +36,8 @@ BANDS, BAND = 12, 3
 FAR, AGREE = 24, 18
 #: Units of a bucket compared in one task; a unit counts once more for each LONG shingles.
 BLOCK, LONG = 512, 4096
+#: Leaders that the units of a large bucket are compared with first.
+LEADERS = 16
 #: Groups of bits. Of at most 16 bits each, so that the counts of their values are bounded.
 GROUPS = 4
 #: A group value with more fingerprints than this is dealt over several tasks.
@@ -214,6 +216,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Null and blank texts have fingerprint 0 and are linked like any other. Rows with a null id
     belong to groups but do not name them; a group of such rows only has a null component_id.
+    Repeated rows get a row each, of one group; very long texts are read whole, in chunks; an empty
+    table gives no rows; extra columns are ignored, whatever they are called. A fingerprint that
+    fills a large share of the rows is left to adaptive execution, which splits such joins.
     """
     prints = materialise(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -262,15 +267,15 @@ def _sketches(words: int):
     return run
 
 
-def joining_links(sketches: Sequence[Sketch], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def joining_links(sketches: Sequence[Sketch], left: np.ndarray, right: np.ndarray, similarity: float, label: np.ndarray) -> list[tuple[int, int]]:
     """Places of pairs of left and right that are similar enough and join all that such pairs join.
 
-    Pairs that others have joined already are passed over, so a dense group costs about one
-    comparison of sets a member.
+    Pairs that others have joined already (equal labels) are passed over, so a dense group costs
+    about one comparison of sets a member.
     """
     fp = np.array([k.fp for k in sketches], np.uint64)  # signed numbers would be counted by their absolute value
     minima = np.stack([k.minima for k in sketches])
-    label, out = np.arange(len(sketches)), []
+    label, out = label.copy(), []
     for i in left.tolist():
         others = right[label[right] != label[i]]
         others = others[np.bitwise_count(fp[others] ^ fp[i]) <= FAR]
@@ -291,7 +296,7 @@ def joining_links(sketches: Sequence[Sketch], left: np.ndarray, right: np.ndarra
 def _compare(similarity: float):
     def run(bucket: pa.Table) -> pa.Table:
         bucket = bucket.sort_by([("key", "ascending"), ("unit", "ascending")])
-        key, unit, is_i = (bucket[c].to_numpy(zero_copy_only=False) for c in ("key", "unit", "is_i"))
+        key, unit, is_i, label = (bucket[c].to_numpy(zero_copy_only=False) for c in ("key", "unit", "is_i", "label"))
         rows = zip(bucket["fp"].to_numpy().view(np.uint64), *(bucket[c] for c in ("minima", "shingles")), strict=True)
         made = [Sketch(f, b"", _NONE, m.values.to_numpy(), s.values.to_numpy()) for f, m, s in rows]
         across = bucket["i"][0].as_py() != bucket["j"][0].as_py()
@@ -300,7 +305,7 @@ def _compare(similarity: float):
         for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
             at = np.arange(e - s)
             sides = (at[is_i[s:e]], at[~is_i[s:e]]) if across else (at, at)
-            found += [(s + i, s + j) for i, j in joining_links(made[s:e], *sides, similarity)]
+            found += [(s + i, s + j) for i, j in joining_links(made[s:e], *sides, similarity, label[s:e])]
         a, b = np.array(found, int).reshape(-1, 2).T
         return pa.table({"a": unit[a], "b": unit[b]})
 
@@ -317,12 +322,58 @@ def _apart(units: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("print"), F.xxhash64("a", "b").alias("key"))
 
 
+def _leaders(part: pa.Table) -> pa.Table:
+    """Of the units of a part, the one whose minima agree most with the commonest ones: a text that
+    near copies stem from, or a copy with few edits of its own."""
+    part = part.sort_by("unit")
+    minima = part["minima"].combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+    agree = np.zeros(len(part), np.int64)
+    for column in minima.T:
+        values, inverse, counts = np.unique(column, return_inverse=True, return_counts=True)
+        agree += inverse == counts.argmax()
+    best = int(agree.argmax())
+    return pa.table({"key": part["key"][best : best + 1], "part": part["part"][best : best + 1], "unit": part["unit"][best : best + 1], "agree": agree[best : best + 1]})
+
+
+def _first_links(large: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Links of the units of large buckets to a few leaders of their bucket: one pass over the
+    units, whose minima alone choose the leaders."""
+    cut = large.select("key", "unit", "parts", F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int").alias("part"))
+    chosen = cut.join(whole.select("unit", "minima"), "unit").groupBy("key", "part").applyInArrow(_leaders, "key long, part int, unit long, agree long")
+    best = chosen.groupBy("key", F.pmod("part", F.lit(LEADERS)).alias("salt")).agg(F.max(F.struct("agree", "unit")).alias("best"))
+    parts = large.groupBy("key").agg(F.max("parts").alias("parts"))
+    led = best.select("key", "best.unit").join(parts, "key").select("key", "unit", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_i"))
+    both = cut.select("key", "unit", "part", F.lit(True).alias("is_i")).unionByName(led)
+    dealt = both.select("*", F.col("part").alias("i"), F.lit(-1).alias("j"), F.monotonically_increasing_id().alias("label")).join(whole, "unit")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+
+
+def _rest_links(large: DataFrame, joined: DataFrame, whole: DataFrame, similarity: float, weight: Column) -> DataFrame:
+    """The links still missing in large buckets. Units that links have joined already need none
+    among themselves: those outside the largest joined set of a bucket, the rest, are compared with
+    all of it, in pairs of parts of bounded size. Without a rest there is nothing to compare."""
+    found = components(joined)
+    own = large.join(found, F.col("unit") == F.col("node"), "left").withColumn("label", F.coalesce("root", "unit")).drop("node", "root")
+    own = materialise(own, "joined-units")
+    sets = own.groupBy("key", "label").agg(F.count("*").alias("size"))
+    main = sets.groupBy("key").agg(F.max(F.struct("size", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
+    marked = own.join(main, "key").withColumn("rest", F.col("label") != F.col("main"))
+    left = marked.where("rest").groupBy("key").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("rest_parts"))
+    marked = marked.join(left, "key")  # buckets without a rest are done
+    part, spread = F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side_i = marked.where("rest").select("key", "unit", "label", F.pmod(F.xxhash64("unit"), F.col("rest_parts")).cast("int").alias("i"), spread("parts").alias("j"), F.lit(True).alias("is_i"))
+    side_j = marked.select("key", "unit", "label", spread("rest_parts").alias("i"), part.alias("j"), F.lit(False).alias("is_i"))
+    dealt = side_i.unionByName(side_j).withColumn("j", F.col("j") + (1 << 20)).join(whole, "unit")  # never equal to i: two sides
+    return dealt.groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+
+
 def similar_units(units: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """(a, b) that join the units similar enough. Units (unit, row, fp, bands, n): one per distinct
     shingle set, n of them shingles; sketches hold the minima and shingles of each row.
 
     Units meet in buckets: those that share a band or a fingerprint, and linked fingerprints that
-    do not. A large bucket is compared in pairs of parts of bounded size, a task each.
+    do not. Small buckets are compared whole, many in a task. A large one, a dense group as a rule,
+    is first joined by its leaders, and only what they leave apart is compared further.
     """
     slim = ("key", "unit", "row", "n")
     own = F.xxhash64("fp", F.lit(SEED))
@@ -330,21 +381,18 @@ def similar_units(units: DataFrame, sketches: DataFrame, similarity: float) -> D
     keys = keys.unionByName(_apart(units).join(units, F.col("print") == F.col("fp")).select(*slim))
     weight = 1 + F.floor(F.col("n") / LONG)
     shared = keys.groupBy("key").agg(F.count("*").alias("units"), F.sum(weight).alias("m")).where("units > 1").select("key", "m")
-    met = materialise(keys.join(shared, "key"), "buckets")
+    met = materialise(keys.join(shared, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), "buckets")
     wanted = broadcast_if_small(met.select("unit", "row").distinct(), F.lit(64), "met")
     whole = sketches.select("row", "fp", "minima", "shingles").join(wanted, "row").select("unit", "fp", "minima", "shingles")
-    total = met.agg(F.sum(weight)).first()[0] or 0
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("unit"), F.col("parts")).cast("int")
-    cut = met.select("key", "unit", parts.alias("parts")).withColumn("part", part)
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # buckets of one part share tasks
-    task = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BLOCK)))))
-    dealt = cut.select(
-        "key", "unit", (F.col("parts") > 1).alias("large"), task.alias("task"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        (F.col("part") <= F.col("other")).alias("is_i"),
-    ).join(whole, "unit")
-    return dealt.groupBy("large", "task", "i", "j").applyInArrow(_compare(similarity), "a long, b long").distinct()
+    small, large = met.where("parts = 1"), met.where("parts > 1")
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    task = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // BLOCK))))
+    dealt = small.select("key", "unit", task.alias("task"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("is_i"), F.col("unit").alias("label")).join(whole, "unit")
+    links = dealt.groupBy("task", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+    if large.isEmpty():
+        return links.distinct()
+    joined = materialise(links.unionByName(_first_links(large, whole, similarity)).distinct(), "first-links")
+    return joined.unionByName(_rest_links(large, joined, whole, similarity, weight)).distinct()
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, row: Column | None = None) -> DataFrame:

@@ -158,3 +158,26 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, block):
     docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
     got = {r.doc_id for r in sh.keep_one_of_each(docs).collect()}
     assert got == {i for i, r in want.items() if i == r}
+
+
+def test_a_dense_group_is_joined_by_its_leaders(spark, monkeypatch):
+    """Near copies of one text, all in the same buckets: after the pass over the leaders nothing is
+    left to compare, so the rows dealt follow the members, not their pairs."""
+    monkeypatch.setattr(sh, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    texts = [" ".join(base)] + [edited(rng, base, rng.choice([0, 1, 1, 2])) for _ in range(299)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], sh._rest_links
+
+    def counting(large, joined, whole, similarity, weight):
+        out = real(large, joined, whole, similarity, weight)
+        rest = sh.components(joined).groupBy("root").count().collect()
+        seen.append((large.select("unit").distinct().count(), max(r["count"] for r in rest)))
+        return out
+
+    monkeypatch.setattr(sh, "_rest_links", counting)
+    want = slow_near_copies(dict(enumerate(texts)))
+    assert {r.doc_id for r in sh.keep_one_of_each(docs).collect()} == {i for i, r in want.items() if i == r}
+    units, joined = seen[0]
+    assert units > 150 and joined >= 0.9 * units
