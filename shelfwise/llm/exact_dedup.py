@@ -10,6 +10,7 @@ several batches in the order of the ids, each of which meets the digests of thos
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +32,21 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, the id of the document that was kept for each, and the batch it came in."""
+    """Digests seen so far, the id of the document that was kept for each, and the batch it came in.
 
-    def __init__(self, spark: SparkSession, location: str, buckets: int = BUCKETS):
-        """Opens the index at a shared location, or creates it there."""
-        self.spark, self.buckets = spark, buckets
+    The number of buckets is written beside the data when the index is made, and holds from then
+    on: with another one, digests would be looked for in the wrong buckets and not be found.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, buckets: int | None = None):
+        """Opens the index at a shared location, or makes it there with so many buckets (BUCKETS
+        unless given). Opened with a number that is not its own it raises; see ``rebuild``."""
+        self.spark, self.buckets = spark, _layout(spark, location, buckets)
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, location).hex}"
         quoted = location.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{quoted}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{quoted}'"
         )
 
     def read(self) -> DataFrame:
@@ -65,6 +71,41 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def _rows_at(spark: SparkSession, path: str, schema: str) -> list | None:
+    """The rows of a small table, or None if there is nothing at its place."""
+    try:
+        return spark.read.schema(schema).parquet(path).take(2)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _layout(spark: SparkSession, location: str, buckets: int | None) -> int:
+    """The number of buckets of the index at a location, written there if it is new. The name of
+    the file begins with a line, so that readers of the table pass it over."""
+    path = f"{location}/_layout"
+    kept = _rows_at(spark, path, "buckets int")
+    if not kept:  # none, or nothing in it yet
+        if _rows_at(spark, location, "digest string"):
+            raise ValueError(f"the digests at {location} don't say in how many buckets they are; rebuild the index")
+        spark.range(0, 1, 1, 1).select(F.lit(buckets or BUCKETS).cast("int").alias("buckets")).write.mode("overwrite").parquet(path)
+        return buckets or BUCKETS
+    if buckets not in (None, kept[0].buckets):
+        raise ValueError(f"the index at {location} has {kept[0].buckets} buckets, not {buckets}; rebuild it for another number")
+    return kept[0].buckets
+
+
+def rebuild(spark: SparkSession, location: str, new_location: str, buckets: int) -> DigestIndex:
+    """The same digests in an index of another number of buckets, at a new location."""
+    index = DigestIndex(spark, new_location, buckets)
+    old = spark.read.schema("digest string, keep_id long, batch string").parquet(location)
+    dealt = old.repartitionById(buckets, F.pmod(F.hash("digest"), F.lit(buckets)))
+    dealt.sortWithinPartitions("digest").write.insertInto(index.table)
+    spark.catalog.refreshTable(index.table)
+    return index
+
+
 def firsts_of(digests: DataFrame) -> DataFrame:
     """One row per digest: its least row, by partial aggregates."""
     groups = digests.groupBy("digest").agg(F.min(least_row()).alias("first"))
@@ -113,7 +154,9 @@ def group_report(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
     Null texts count as empty. Of equal texts exactly one row stays: the smallest doc_id, null
     ids last, and of rows with the same id the first in the order of ``row``. An empty table gives
-    no rows; extra columns are ignored. Without an index a new one is used.
+    no rows; extra columns are ignored. Very long texts are hashed whole. Without an index a new
+    one is used. A digest that fills a large share of the rows is left to adaptive execution, which
+    splits the rows of such joins.
     """
     digests = _digests(packed(docs, row))
     sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))

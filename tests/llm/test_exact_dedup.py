@@ -87,3 +87,31 @@ def test_extra_columns(spark, write):
     folder = write(rows, schema="doc_id long, text string, digest string, keep_row string")
     got = ed.deduplicate(spark.read.parquet(f"{folder}/documents.parquet")).collect()
     assert [tuple(r) for r in got] == [rows[0]]
+
+
+@pytest.mark.parametrize("first,then", [(8, 4), (4, 8)])
+def test_an_index_keeps_its_number_of_buckets(spark, write, tmp_path, first, then):
+    """As another session would open it, with a name of its own for the table."""
+    docs = spark.read.parquet(f"{write([(i, f'text {i}', 'en', 's', 1) for i in range(300)])}/documents.parquet")
+    place = str(tmp_path / "index")
+    index = ed.DigestIndex(spark, place, buckets=first)
+    assert ed.deduplicate(docs, index, "monday").count() == 300
+    index.close()
+    with pytest.raises(ValueError, match=f"{first} buckets, not {then}"):
+        ed.DigestIndex(spark, place, buckets=then)
+    again = ed.DigestIndex(spark, place)
+    assert again.buckets == first
+    assert ed.deduplicate(docs, again, "tuesday").count() == 0 and again.read().count() == 300
+    moved = ed.rebuild(spark, place, str(tmp_path / "moved"), then)
+    assert moved.buckets == then and ed.DigestIndex(spark, str(tmp_path / "moved")).buckets == then
+    assert ed.deduplicate(docs, moved, "wednesday").count() == 0 and moved.read().count() == 300
+    plan = moved.new_digests(docs.selectExpr("text AS digest", "doc_id AS keep_id"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_digests_without_a_layout_are_not_guessed_at(spark, tmp_path):
+    place = str(tmp_path / "old")
+    spark.createDataFrame([("d", 1, "b")], "digest string, keep_id long, batch string").write.parquet(place)
+    with pytest.raises(ValueError, match="rebuild"):
+        ed.DigestIndex(spark, place)
+    assert ed.rebuild(spark, place, str(tmp_path / "new"), 4).read().count() == 1
