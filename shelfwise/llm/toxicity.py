@@ -313,15 +313,19 @@ def _describe(model: Model):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of labelled documents; near copies count about once for the lexicon.
 
-    Without labelled documents of both kinds the model has no terms and scores by the base rate.
+    The sample has one row for each labelled id and text, at most SAMPLE_TOXIC and SAMPLE_CLEAN
+    rows, whatever an id or its label repeats; an id labelled both ways counts as toxic. Without
+    labelled documents of both kinds the model has no terms and scores by the base rate.
     """
     spark = docs.sparkSession
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.where("toxic = 1").orderBy(*by_hash).limit(SAMPLE_TOXIC)
     chosen = chosen.unionByName(marked.where("toxic = 0").orderBy(*by_hash).limit(SAMPLE_CLEAN))
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN ids
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    taken = [rows.where(F.col("toxic") == k).orderBy(*by_hash, "text").limit(most) for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    sample = materialise(taken[0].unionByName(taken[1]).select("text", "toxic"), "toxic-sample")
     distinct = materialise(_without_copies(sample), "toxic-distinct")
     sizes = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -357,7 +361,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add toxic_score to doc_id of each row, whole texts; null texts score like empty ones."""
+    """doc_id and ``score`` of each row, from the whole text, however long; null texts score like
+    empty ones. Repeated rows are scored each, an empty table gives no rows, extra columns are
+    ignored, whatever they are called."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

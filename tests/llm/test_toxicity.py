@@ -151,3 +151,19 @@ def test_every_score_against_brute_force(spark, monkeypatch, bound):
         assert model.score(t) == pytest.approx(slow_score(model, t)), i
     got = {r.doc_id: r.score for r in tx.score(docs.withColumns({"score": F.lit("x"), "toxic": F.lit("y")}), model).collect()}
     assert got == {i: pytest.approx(model.score(t)) for i, t in texts.items()}
+
+
+def test_the_sample_is_bounded_in_rows(spark, write, monkeypatch):
+    """Labelled ids that repeat, in the labels and in the documents, enlarge nothing."""
+    rows = [(i % 40, f"some {'idiot' if i % 40 < 20 else 'friendly'} words {i % 40} {i % 3}", "en", "s", 1) for i in range(4000)]
+    folder = write(rows)
+    write([(i % 40, int(i % 40 < 20)) for i in range(200)], "labels", "doc_id long, toxic int")
+    seen, real = [], tx._without_copies
+    monkeypatch.setattr(tx, "_without_copies", lambda sample: seen.append(sample.groupBy("toxic").count().collect()) or real(sample))
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    tx.fit(docs, labels)
+    assert sorted(map(tuple, seen[0])) == [(0, 60), (1, 60)]
+    monkeypatch.setattr(tx, "SAMPLE_TOXIC", 30)
+    monkeypatch.setattr(tx, "SAMPLE_CLEAN", 10)
+    tx.fit(docs, labels)
+    assert sorted(map(tuple, seen[1])) == [(0, 10), (1, 30)]
