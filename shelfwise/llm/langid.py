@@ -179,7 +179,8 @@ def identify(docs: DataFrame, model: TrigramModel) -> DataFrame:
     """doc_id, language, posterior, kept for each document; its source stands for the host.
 
     Null, empty and letterless texts are not kept. Null sources take the corpus prior. Repeated
-    rows count as often as they occur; an empty table gives no rows; extra columns are ignored.
+    rows count as often as they occur; very long texts count whole; an empty table gives no rows;
+    extra columns are ignored.
     """
     return _identified(docs.select(F.struct("*").alias("doc"), F.lit(0).alias("row")), model).drop("row")
 

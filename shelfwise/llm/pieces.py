@@ -233,7 +233,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit), decoded_sha256, spans_sha256
     (start and end of each piece in turn, as little-endian 64-bit), covered (source bytes
     under at least one piece's end). Null texts count as empty; repeated rows are coded like any
-    others, an empty table gives no rows, extra columns are ignored.
+    others, very long texts are coded whole, an empty table gives no rows, extra columns are ignored.
     """
     path = path or model_path()
 

@@ -40,7 +40,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     The name of a row decides its bucket and its place in it, so both passes and every retry
     agree: ``row`` (see ``common.file_row``), or else its id and text, so that the same rows go
     to the same places however they are stored; rows equal in both then share a bucket. Null ids
-    and texts are ordinary values, column names clash with nothing, an empty table gives no rows.
+    and texts are ordinary values, very long texts are moved whole, column names clash with nothing,
+    an empty table gives no rows.
     """
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
