@@ -39,6 +39,15 @@ def _bucket(rows: DataFrame, order: str, split: bool):
     return F.lit(0) if bucket is None else bucket
 
 
+def _written_once(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the folder that ``spark.checkpoint.dir`` names, where one is set."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None and folder:
+        context.setCheckpointDir(folder)
+    return df if context.getCheckpointDir() is None else df.checkpoint()
+
+
 def _with_state(commands: DataFrame, split: bool) -> DataFrame:
     """Effective commands, the exit included, with ``s_last`` (seq of the last sort before it)
     and ``n_before`` (records in the list before it)."""
@@ -52,7 +61,8 @@ def _with_state(commands: DataFrame, split: bool) -> DataFrame:
         {"s_last": ("max", F.when(F.col("choice") == SORT, F.col("seq"))), "n_before": ("count", F.when(F.col("choice") == ADD, 1))}, split,
     )
     # an empty term is asked for again, but an empty list answers before any term
-    return state.where((F.col("choice") != SEARCH) | non_empty(F.col("title")) | (F.col("n_before") == 0))
+    state = state.where((F.col("choice") != SEARCH) | non_empty(F.col("title")) | (F.col("n_before") == 0))
+    return _written_once(state) if split else state  # values in two levels read it again and again
 
 
 def parse_choices(commands: DataFrame) -> DataFrame:
@@ -105,17 +115,26 @@ def replay_search(commands: DataFrame) -> DataFrame:
 _RECORD = ("title", "host", "duration")
 
 
-def _sorted_lines(state: DataFrame, adds: DataFrame, views: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
+def _epochs(state: DataFrame, views: DataFrame, split: bool) -> DataFrame:
+    """(of_session, epoch, records) of each sort that a view shows, with the number of records it
+    has sorted. Sorts of sessions in one window carry that number on to the views; those of split
+    ones are looked up, as running values there read their input twice."""
+    if not split:
+        return views.where("n_sorted > 0").select(F.col("session_id").alias("of_session"), F.col("s_last").alias("epoch"), F.col("n_sorted").alias("records")).distinct()
+    seen = views.where("s_last IS NOT NULL").select("session_id", F.col("s_last").alias("seq")).distinct()
+    sorts = state.where((F.col("choice") == SORT) & (F.col("n_before") > 0)).join(seen, ["session_id", "seq"], "left_semi")
+    return sorts.select(F.col("session_id").alias("of_session"), F.col("seq").alias("epoch"), F.col("n_before").alias("records"))
+
+
+def _sorted_lines(epochs: DataFrame, adds: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
     """(session_id, epoch, ordinal, add_seq, record) of the lists as each sort that a view shows
     has left them: ranked once a sort, whatever the number of views.
 
     A sort meets the records in blocks by their place in the log, so a long session is many keys.
     """
     block = F.floor(F.col("add_index") / _LINES_PER_BLOCK)
-    seen = views.where("s_last IS NOT NULL").select("session_id", F.col("s_last").alias("seq")).distinct()
-    sorts = state.where((F.col("choice") == SORT) & (F.col("n_before") > 0)).join(seen, ["session_id", "seq"], "left_semi")
-    last = F.floor((F.col("n_before") - 1) / _LINES_PER_BLOCK)
-    epochs = sorts.select(F.col("session_id").alias("of_session"), F.col("seq").alias("epoch"), F.col("n_before").alias("records"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("of_block"))
+    last = F.floor((F.col("records") - 1) / _LINES_PER_BLOCK)
+    epochs = epochs.withColumn("of_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     records = adds.withColumn("block", block)
     met = records.join(epochs, (F.col("session_id") == F.col("of_session")) & (F.col("block") == F.col("of_block")) & (F.col("add_index") < F.col("records")))
     buckets = [F.col("duration"), F.col("block")] if split else []
@@ -127,13 +146,15 @@ def _sorted_lines(state: DataFrame, adds: DataFrame, views: DataFrame, split: bo
 
 def _lines(log: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
     state = _with_state(log, split)
+    if not split:  # how many records the last sort has sorted: as many as the list had at that moment
+        state = running(state, ["session_id"], F.lit(0), ["seq"], {"n_sorted": ("max", F.when(F.col("choice") == SORT, F.col("n_before")))}, split)
     views = state.where(F.col("choice") == VIEW)
     adds = state.where(F.col("choice") == ADD).select("session_id", "s_last", F.col("seq").alias("add_seq"), F.col("n_before").alias("add_index"), *_RECORD)
     shown = F.col("n_before") if max_lines is None else F.least("n_before", F.lit(max_lines).cast("long"))
     # records added after the last sort follow in the order they came: their place never changes
     late = adds.select("session_id", F.coalesce("s_last", F.lit(-1)).alias("epoch"), (F.col("add_index") + 1).alias("ordinal"), "add_seq", *_RECORD)
     late = late if max_lines is None else late.where(F.col("ordinal") <= max_lines)
-    lines = late.unionByName(_sorted_lines(state, adds, views, split, max_lines))
+    lines = late.unionByName(_sorted_lines(_epochs(state, views, split), adds, split, max_lines))
     lines = lines.withColumn("block", F.floor((F.col("ordinal") - 1) / _LINES_PER_BLOCK)).withColumnRenamed("session_id", "of_session").withColumnRenamed("epoch", "of_epoch")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((shown - 1) / _LINES_PER_BLOCK)))
     asked = views.where(shown > 0).select("session_id", "seq", F.coalesce("s_last", F.lit(-1)).alias("epoch"), blocks.alias("asked_block"))
