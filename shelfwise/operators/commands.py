@@ -115,12 +115,9 @@ def replay_search(commands: DataFrame) -> DataFrame:
 _RECORD = ("title", "host", "duration")
 
 
-def _epochs(state: DataFrame, views: DataFrame, split: bool) -> DataFrame:
+def _epochs(state: DataFrame, views: DataFrame) -> DataFrame:
     """(of_session, epoch, records) of each sort that a view shows, with the number of records it
-    has sorted. Sorts of sessions in one window carry that number on to the views; those of split
-    ones are looked up, as running values there read their input twice."""
-    if not split:
-        return views.where("n_sorted > 0").select(F.col("session_id").alias("of_session"), F.col("s_last").alias("epoch"), F.col("n_sorted").alias("records")).distinct()
+    has sorted."""
     seen = views.where("s_last IS NOT NULL").select("session_id", F.col("s_last").alias("seq")).distinct()
     sorts = state.where((F.col("choice") == SORT) & (F.col("n_before") > 0)).join(seen, ["session_id", "seq"], "left_semi")
     return sorts.select(F.col("session_id").alias("of_session"), F.col("seq").alias("epoch"), F.col("n_before").alias("records"))
@@ -146,15 +143,13 @@ def _sorted_lines(epochs: DataFrame, adds: DataFrame, split: bool, max_lines: in
 
 def _lines(log: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
     state = _with_state(log, split)
-    if not split:  # how many records the last sort has sorted: as many as the list had at that moment
-        state = running(state, ["session_id"], F.lit(0), ["seq"], {"n_sorted": ("max", F.when(F.col("choice") == SORT, F.col("n_before")))}, split)
     views = state.where(F.col("choice") == VIEW)
     adds = state.where(F.col("choice") == ADD).select("session_id", "s_last", F.col("seq").alias("add_seq"), F.col("n_before").alias("add_index"), *_RECORD)
     shown = F.col("n_before") if max_lines is None else F.least("n_before", F.lit(max_lines).cast("long"))
     # records added after the last sort follow in the order they came: their place never changes
     late = adds.select("session_id", F.coalesce("s_last", F.lit(-1)).alias("epoch"), (F.col("add_index") + 1).alias("ordinal"), "add_seq", *_RECORD)
     late = late if max_lines is None else late.where(F.col("ordinal") <= max_lines)
-    lines = late.unionByName(_sorted_lines(_epochs(state, views, split), adds, split, max_lines))
+    lines = late.unionByName(_sorted_lines(_epochs(state, views), adds, split, max_lines))
     lines = lines.withColumn("block", F.floor((F.col("ordinal") - 1) / _LINES_PER_BLOCK)).withColumnRenamed("session_id", "of_session").withColumnRenamed("epoch", "of_epoch")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((shown - 1) / _LINES_PER_BLOCK)))
     asked = views.where(shown > 0).select("session_id", "seq", F.coalesce("s_last", F.lit(-1)).alias("epoch"), blocks.alias("asked_block"))
