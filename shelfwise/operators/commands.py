@@ -7,7 +7,7 @@ command's outcome follows from running aggregates; nothing is replayed row by ro
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import (
@@ -20,18 +20,23 @@ ADD, VIEW, SEARCH, SORT, EXIT = 1, 2, 3, 4, 5
 _ROWS_PER_TASK = 5_000_000
 #: Lines of a list that a view joins at a time, and records of a list that are ranked together.
 _LINES_PER_BLOCK = 10_000
+#: Records of a list that a view meets at once, within its session, instead of block by block.
+_SHORT_LIST = 1_000
 
 
-def _by_heat(commands: DataFrame, replay: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def _by_heat(commands: DataFrame, replay: Callable[[DataFrame, bool, int], DataFrame]) -> DataFrame:
     """Replays sessions of usual length in one window each, and only those measured to be longer
     than one task takes in two levels. Reads the session column first; the ids of hot sessions are
-    at most one for every _ROWS_PER_TASK commands."""
-    hot = commands.groupBy("session_id").count().where(F.col("count") > _ROWS_PER_TASK).select("session_id").collect()
-    if not hot:
-        return replay(commands, False)
-    ids = F.broadcast(commands.sparkSession.createDataFrame(hot, commands.select("session_id").schema))
+    at most one for every _ROWS_PER_TASK commands. ``replay`` is told the longest session's length."""
+    sizes = commands.groupBy("session_id").count()
+    hot = F.when(F.col("count") > _ROWS_PER_TASK, F.struct("session_id"))
+    longest, ids = sizes.agg(F.max("count"), F.collect_list(hot)).first()
+    if not ids:
+        return replay(commands, False, longest or 0)
+    ids = F.broadcast(commands.sparkSession.createDataFrame(ids, commands.select("session_id").schema))
     match = commands["session_id"].eqNullSafe(ids["session_id"])
-    return replay(commands.join(ids, match, "left_anti"), False).unionByName(replay(commands.join(ids, match, "left_semi"), True))
+    cold, long = commands.join(ids, match, "left_anti"), commands.join(ids, match, "left_semi")
+    return replay(cold, False, longest).unionByName(replay(long, True, longest))
 
 
 def _bucket(rows: DataFrame, order: str, split: bool):
@@ -72,7 +77,7 @@ def parse_choices(commands: DataFrame) -> DataFrame:
 
 
 def effective(commands: DataFrame) -> DataFrame:
-    kept = _by_heat(commands, _with_state).where(F.col("choice") != EXIT)
+    kept = _by_heat(commands, lambda log, split, _: _with_state(log, split)).where(F.col("choice") != EXIT)
     return kept.select("session_id", "seq", "choice", "title", "host", "duration")
 
 
@@ -102,7 +107,7 @@ def _search_outcome():
 
 def replay_search(commands: DataFrame) -> DataFrame:
     """What each search would have shown at that moment."""
-    def replay(log: DataFrame, split: bool) -> DataFrame:
+    def replay(log: DataFrame, split: bool, _: int) -> DataFrame:
         asked = _with_state(log, split).where(F.col("choice").isin(ADD, SEARCH))
         return _answered(asked, split).where(F.col("choice") == SEARCH)
 
@@ -141,9 +146,23 @@ def _sorted_lines(epochs: DataFrame, adds: DataFrame, split: bool, max_lines: in
     return ranked.select("session_id", "epoch", "ordinal", "add_seq", *_RECORD)
 
 
-def _lines(log: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
+def _short_lines(log: DataFrame) -> DataFrame:
+    """The views of lists of up to _SHORT_LIST records. A view meets the records of its session and
+    numbers them by itself: all stays where the log was dealt by session."""
+    state = _with_state(log, False)
+    n = F.col("n_before")
+    views = state.where((F.col("choice") == VIEW) & n.between(1, _SHORT_LIST)).select("session_id", "seq", "s_last")
+    adds = state.where((F.col("choice") == ADD) & (n < _SHORT_LIST))
+    adds = adds.select(F.col("session_id").alias("of_session"), F.col("seq").alias("add_seq"), *_RECORD)
+    met = views.join(adds, (F.col("session_id") == F.col("of_session")) & (F.col("add_seq") < F.col("seq")))
+    in_sort = F.coalesce(F.col("add_seq") < F.col("s_last"), F.lit(False))
+    place = Window.partitionBy("session_id", "seq").orderBy(~in_sort, F.when(in_sort, F.col("duration")), "add_seq")
+    return met.withColumn("ordinal", F.row_number().over(place).cast("long"))
+
+
+def _lines(log: DataFrame, split: bool, max_lines: int | None, longer_than: int = 0) -> DataFrame:
     state = _with_state(log, split)
-    views = state.where(F.col("choice") == VIEW)
+    views = state.where((F.col("choice") == VIEW) & (F.col("n_before") > longer_than))
     adds = state.where(F.col("choice") == ADD).select("session_id", "s_last", F.col("seq").alias("add_seq"), F.col("n_before").alias("add_index"), *_RECORD)
     shown = F.col("n_before") if max_lines is None else F.least("n_before", F.lit(max_lines).cast("long"))
     # records added after the last sort follow in the order they came: their place never changes
@@ -160,13 +179,22 @@ def _lines(log: DataFrame, split: bool, max_lines: int | None) -> DataFrame:
 def replay_view(commands: DataFrame, max_lines: int | None = None) -> DataFrame:
     """The numbered list that each view would have shown; the output is as long as those lists.
 
-    Views of the same sort share its ranks; records added since then have the place at which they
-    were added. Views meet their lines by session, sort and block of lines, so neither a long list
+    Short lists are numbered view by view. Views of longer ones share the ranks of a sort; records
+    added since then have the place at which they were added. Views meet their lines by session, sort and block of lines, so neither a long list
     nor a session with many views is one key. ``max_lines`` shows only the head of each list, and
     cuts the lists before views meet them.
     """
-    lines = _by_heat(commands, lambda log, split: _lines(log, split, max_lines))
-    return lines.select("session_id", "seq", "ordinal", *_RECORD)
+    columns = ("session_id", "seq", "ordinal", *_RECORD)
+
+    def replay(log: DataFrame, split: bool, longest: int) -> DataFrame:
+        if split or max_lines is not None:
+            return _lines(log, split, max_lines).select(*columns)
+        short = _short_lines(log).select(*columns)
+        if longest <= _SHORT_LIST:
+            return short
+        return short.unionByName(_lines(log, split, None, _SHORT_LIST).select(*columns))
+
+    return _by_heat(commands, replay)
 
 
 def outcomes(commands: DataFrame) -> DataFrame:
@@ -179,5 +207,5 @@ def outcomes(commands: DataFrame) -> DataFrame:
         .when(F.col("choice") == VIEW, "listed")
         .otherwise("sorted")
     )
-    done = _by_heat(commands, lambda log, split: _answered(_with_state(log, split), split))
+    done = _by_heat(commands, lambda log, split, _: _answered(_with_state(log, split), split))
     return done.select("session_id", "seq", "choice", told.alias("outcome"))

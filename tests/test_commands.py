@@ -64,6 +64,7 @@ def split_up(monkeypatch, rows, per_task, lines):
     monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", rows)
     monkeypatch.setattr(cmd, "_ROWS_PER_TASK", per_task)
     monkeypatch.setattr(cmd, "_LINES_PER_BLOCK", lines)
+    monkeypatch.setattr(cmd, "_SHORT_LIST", lines)
 
 
 @pytest.mark.parametrize("seed,bucket,max_lines", [(0, None, None), (1, 7, 3), (2, 1, None)])
@@ -87,6 +88,16 @@ def test_one_hot_session_among_many(spark, monkeypatch):
     assert seen == [(False, set(range(1, 11))), (True, {0})]
 
 
+@pytest.mark.parametrize("short", [0, 1, 5])
+def test_short_and_long_lists(spark, monkeypatch, short):
+    """Views of short lists and of longer ones in the same sessions."""
+    monkeypatch.setattr(cmd, "_SHORT_LIST", short)
+    logs = random_logs(random.Random(7), [40, 25, 3])
+    df = spark.createDataFrame([r for log in logs.values() for r in log], schemas.COMMAND)
+    shown = [x for log in logs.values() for x in simulate(log)[1]]
+    assert sorted(map(tuple, cmd.replay_view(df).collect())) == sorted(shown)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
