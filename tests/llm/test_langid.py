@@ -1,3 +1,8 @@
+import math
+import re
+from collections import Counter
+from urllib.parse import urlsplit
+
 import numpy as np
 import pytest
 
@@ -72,6 +77,59 @@ def test_fusion_against_rows(spark):
             assert got[r["id"]].language == language
 
 
+def slow_logs(docs):
+    """Logarithms of the share of each bucket, by language, counted one trigram at a time."""
+    counts = {}
+    for d in docs:
+        if d.lang is not None and d.text is not None:
+            counts.setdefault(d.lang, Counter()).update(slow_buckets(d.text))
+    size = 1 << 16
+    logs = {}
+    for lang, own in sorted(counts.items()):
+        all_ = sum(own.values()) + 0.1 * size
+        logs[lang] = lambda b, own=own, all_=all_: float(np.float32(math.log((own[b] + 0.1) / all_)))
+    logs[li.UNKNOWN] = lambda b: float(np.float32(math.log(1 / size)))
+    return logs
+
+
+def slow_page(page, known):
+    """What a page says of its language, taken apart with the standard library."""
+    html = page.html or ""
+    declared = re.search(r"""<html[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,3})""", html, re.I)
+    address = urlsplit(page.url or "")
+    host = address.hostname
+    first = address.path.split("/")[1:2] or [""]
+    signs = [first[0][:2].lower() if re.fullmatch(r"[A-Za-z]{2}([\-_].*)?", first[0]) else None, host.split(".")[-1] if host else None]
+    text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[A-Za-z0-9_]+;", " ", html)
+    return {"text": text, "declared": declared and declared[1].lower(), "suffix": next((x for x in signs if x in known), None), "host": host, "domain": host and ".".join(host.split(".")[-2:])}
+
+
+def test_query_against_brute_force(spark):
+    """Every row of the registered query: the model, the evidence and the fusion done row by row."""
+    small = "/root/testdata/sf0.001"
+    docs, pages = (spark.read.parquet(f"{small}/{t}.parquet").collect() for t in ("documents", "pages"))
+    logs = slow_logs(docs)
+    languages = list(logs)
+
+    def ll(text):
+        seen = Counter(slow_buckets(text))
+        return [sum(n * log(b) for b, n in seen.items()) for log in logs.values()]
+
+    of_docs = [{"text": d.text, "declared": None, "suffix": None, "host": d.source, "domain": d.source} for d in docs]
+    of_pages = [slow_page(p, languages[:-1]) for p in pages]
+    got = li.op4_language_id(spark, small).collect()
+    assert len(got) == len(docs) + len(pages)
+    for key, table, rows in (("doc_id", docs, of_docs), ("page_id", pages, of_pages)):
+        rows = [{**r, "ll": ll(r["text"])} for r in rows]
+        mine = {r[key]: r for r in got if r[key] is not None}
+        for row, r, (language, posterior) in zip(table, rows, slow_fuse(rows, languages)):
+            found = mine[row[key]]
+            assert found.posterior == pytest.approx(posterior, rel=1e-4)
+            if min(r["ll"]) < 0:
+                assert found.language == language
+            assert found.kept == (min(r["ll"]) < 0 and language != li.UNKNOWN and posterior >= li.CERTAIN)
+
+
 def test_evidence_from_pages(spark):
     rows = [
         (1, "https://m.site.example.com/fr/1?x", "<!doctype html><HTML class='a' lang='FR-ca'><p>a &amp; b</p><script>x<y</script>"),
