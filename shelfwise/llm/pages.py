@@ -26,8 +26,10 @@ from shelfwise.llm.common import broadcast_if_small
 TEMPLATE_SHARE, MIN_PAGES = 0.9, 5
 #: The block tree has no deeper nodes; deeper texts belong to their ancestor there, but keep their own marks.
 MAX_DEPTH = 100
-#: Cells of a table of children, and bytes of alignments that a worker keeps.
+#: Cells of a table of children held at once, and bytes of alignments that a worker keeps.
 TABLE_CELLS, CACHE_BYTES = 400_000_000, 16 << 20
+#: First width of the band in which larger tables are worked out, and weights of pairs kept.
+BAND, KEPT_WEIGHTS = 64, 1 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -279,8 +281,8 @@ def align(seed: str, page: str) -> dict[int, int]:
     which matched nodes have equal keys and matched parents.
 
     Lists of children are matched by a table of seed's times page's children, worked out a row at a
-    time; tables of over TABLE_CELLS cells, beyond what a page's layout can need, are cut at the
-    head and tail their lists have in common, and what is left of them stays without counterpart.
+    time. Tables of over TABLE_CELLS cells are not held: lists are parted where a largest matching
+    crosses their middle, and each half is matched alone (see ``_matched``).
     """
     found = _aligned.get((seed, page))
     if found is None:
@@ -291,7 +293,7 @@ def align(seed: str, page: str) -> dict[int, int]:
 def _align(seed: str, page: str) -> dict[int, int]:
     kinds: dict[tuple, int] = {}
     a, b = _Tree(seed, kinds), _Tree(page, kinds)
-    weights: dict[tuple[int, int], int] = {}
+    weights = _Kept(KEPT_WEIGHTS)
 
     def weight(i: int, j: int) -> int:
         if a.keys[i] != b.keys[j]:
@@ -299,9 +301,8 @@ def _align(seed: str, page: str) -> dict[int, int]:
         if a.kind[i] == b.kind[j]:
             return a.size[i]
         pair = a.kind[i], b.kind[j]
-        if pair not in weights:
-            weights[pair] = 1 + _matched(a, b, i, j, weight)[0]
-        return weights[pair]
+        found = weights.get(pair)
+        return weights.keep(pair, 1 + _matched(a, b, i, j, weight)[0], 1) if found is None else found
 
     matched: dict[int, int] = {}
     todo = [(0, 0)] if weight(0, 0) else []
@@ -316,49 +317,152 @@ def _align(seed: str, page: str) -> dict[int, int]:
 
 
 def _matched(a: _Tree, b: _Tree, i: int, j: int, weight: Callable[[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
-    """Weight and pairs of a largest order-preserving matching of two nodes' children."""
-    xs, ys = a.kids[i], b.kids[j]
+    """Weight and pairs of a largest order-preserving matching of two nodes' children.
+
+    Where the table is too large to be held, its middle row is worked out from both ends: a largest
+    matching crosses it where the sum is largest, which leaves two smaller tables (Hirschberg).
+    """
     pairs: list[tuple[int, int]] = []
-    # equal structures at both ends belong together in some largest matching
-    head = _common(a, b, xs, ys)
-    pairs += zip(xs[:head], ys[:head], strict=True)
-    xs, ys = xs[head:], ys[head:]
-    tail = _common(a, b, xs[::-1], ys[::-1])
-    if tail:
-        pairs += zip(xs[-tail:], ys[-tail:], strict=True)
-        xs, ys = xs[:-tail], ys[:-tail]
-    total = sum(a.size[x] for x, _ in pairs)
-    if not xs or not ys or len(xs) * len(ys) > TABLE_CELLS:
-        return total, pairs
-    # a row of weights for each kind of child, shared by all children of the kind
-    first_of = {b.kind[y]: y for y in ys}
-    place = {kind: k for k, kind in enumerate(first_of)}
-    columns = np.array([place[b.kind[y]] for y in ys])
-    of_kind: dict[int, np.ndarray] = {}
-    above = np.zeros(len(ys) + 1, np.int64)
-    diagonal, upward = [], []
-    for x in xs:
-        own = of_kind.get(a.kind[x])
-        if own is None:
-            own = of_kind[a.kind[x]] = np.array([weight(x, y) for y in first_of.values()], np.int64)
-        w = own[columns]
-        row = above.copy()
-        np.maximum(above[1:], above[:-1] + w, out=row[1:])
-        np.maximum.accumulate(row, out=row)
-        diagonal.append(np.packbits((w > 0) & (row[1:] == above[:-1] + w)))
-        upward.append(np.packbits(row[1:] == above[1:]))
-        above = row
-    x, y = len(xs), len(ys)
-    while x and y:
-        at, bit = (y - 1) >> 3, 7 - ((y - 1) & 7)
-        if diagonal[x - 1][at] >> bit & 1:
-            pairs.append((xs[x - 1], ys[y - 1]))
-            x, y = x - 1, y - 1
-        elif upward[x - 1][at] >> bit & 1:
-            x -= 1
-        else:
-            y -= 1
-    return total + int(above[-1]), pairs
+    total, todo = 0, [(a.kids[i], b.kids[j])]
+    while todo:
+        xs, ys = todo.pop()
+        # equal structures at both ends belong together in some largest matching
+        head = _common(a, b, xs, ys)
+        ends = list(zip(xs[:head], ys[:head], strict=True))
+        xs, ys = xs[head:], ys[head:]
+        tail = _common(a, b, xs[::-1], ys[::-1])
+        if tail:
+            ends += zip(xs[-tail:], ys[-tail:], strict=True)
+            xs, ys = xs[:-tail], ys[:-tail]
+        pairs += ends
+        total += sum(a.size[x] for x, _ in ends)
+        if not xs or not ys:
+            continue
+        table = _Table(a, b, xs, ys, weight)
+        if len(xs) * len(ys) <= TABLE_CELLS or len(xs) == 1:
+            score, found = table.pairs(len(xs) + len(ys))
+            total += score
+            pairs += found
+            continue
+        width = table.width()
+        if len(xs) * table.columns_within(width) <= TABLE_CELLS:
+            score, found = table.pairs(width)
+            total += score
+            pairs += found
+            continue
+        half = len(xs) // 2
+        upper = _Table(a, b, xs[:half], ys, weight, len(xs)).scores(width)
+        lower = _Table(a, b, xs[:half - 1 : -1], ys[::-1], weight, len(xs)).scores(width)
+        cut = int(np.argmax(upper + lower[::-1]))
+        todo += [(xs[:half], ys[:cut]), (xs[half:], ys[cut:])]
+    return total, pairs
+
+
+class _Table:
+    """The table of two lists of children: at (x, y) the weight of a largest matching of the first x
+    and the first y. ``rows`` is the length of the whole list where xs is a part of it."""
+
+    def __init__(self, a: _Tree, b: _Tree, xs: list[int], ys: list[int], weight: Callable[[int, int], int], rows: int = 0):
+        self.a, self.b, self.xs, self.ys, self.weight = a, b, xs, ys, weight
+        self.skew = len(ys) - (rows or len(xs))
+        # children meet only those of the same key: where these stand, and which kind of the key they are
+        self.at: dict[str, list] = {}
+        for y, kid in enumerate(ys):
+            self.at.setdefault(b.keys[kid], []).append(y)
+        self.first: dict[str, list[int]] = {}
+        self.place: dict[str, np.ndarray] = {}
+        for key, at in self.at.items():
+            place: dict[int, int] = {}
+            first = self.first[key] = []
+            for y in at:
+                if place.setdefault(b.kind[ys[y]], len(first)) == len(first):
+                    first.append(ys[y])
+            self.place[key] = np.array([place[b.kind[ys[y]]] for y in at])
+            self.at[key] = np.array(at)
+        self.of_kind = _Kept(KEPT_WEIGHTS)
+
+    def _weights(self, x: int, low: int, high: int) -> np.ndarray:
+        """Of child x with children low to high: worked out once for each pair of kinds."""
+        w = np.zeros(high - low, np.int64)
+        key = self.a.keys[x]
+        if key in self.at:
+            at, first = self.at[key], self.first[key]
+            s, e = np.searchsorted(at, (low, high))
+            own = self.of_kind.get(self.a.kind[x])
+            if own is None:
+                own = self.of_kind.keep(self.a.kind[x], np.full(len(first), -1, np.int64), len(first))
+            place = self.place[key][s:e]
+            found = own[place]
+            if len(found) and found.min() < 0:
+                for k in np.unique(place[found < 0]).tolist():
+                    own[k] = self.weight(x, first[k])
+                found = own[place]
+            w[at[s:e] - low] = found
+        return w
+
+    def columns_within(self, width: int) -> int:
+        return min(len(self.ys), abs(self.skew) + 2 * width + 1)
+
+    def _rows(self, width: int, row: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Work out the rows, each in the place of the one before and within the band of this width
+        around the corners' diagonals: (first column, diagonal moves, upward moves). Outside it stand
+        the weights of smaller matchings, so that none is counted that does not exist."""
+        for x, kid in enumerate(self.xs):
+            low, high = max(0, x + 1 + min(0, self.skew) - width - 1), min(len(self.ys), x + 1 + max(0, self.skew) + width)
+            w = self._weights(kid, low, high)
+            above, slanted = row[low + 1 : high + 1], row[low:high] + w
+            new = np.maximum(above, slanted)
+            np.maximum.accumulate(new, out=new)
+            yield low, (w > 0) & (new == slanted), new == above
+            row[low + 1 : high + 1] = new
+
+    def scores(self, width: int) -> np.ndarray:
+        """The last row."""
+        row = np.zeros(len(self.ys) + 1, np.int64)
+        for _ in self._rows(width, row):
+            pass
+        return row
+
+    def width(self) -> int:
+        """A band that holds a largest matching. One that leaves a band skips more than its width of
+        both lists, so it weighs no more than these without as many of their lightest children."""
+        sizes = [np.array([t.size[k] for k in kids]) for t, kids in ((self.a, self.xs), (self.b, self.ys))]
+        without = [s.sum() - np.append(np.cumsum(np.sort(s)), s.sum()) for s in sizes]  # at d: without d + 1
+        n = min(len(s) for s in without)
+        most = np.minimum(without[0][:n], without[1][:n])  # falls with the width
+        width = BAND
+        while width < n:
+            reached = self.scores(width)[-1]
+            if most[width] <= reached:
+                return width
+            enough = int(np.searchsorted(-most, -reached))  # for certain, as weights only grow with the width
+            if enough <= 2 * width:
+                return enough
+            width *= 2
+        return len(self.xs) + len(self.ys)
+
+    def pairs(self, width: int) -> tuple[int, list[tuple[int, int]]]:
+        """Weight and pairs of a largest matching within the band."""
+        row, moves = np.zeros(len(self.ys) + 1, np.int64), []
+        for low, diagonal, upward in self._rows(width, row):
+            moves.append((low, len(diagonal), np.packbits(diagonal), np.packbits(upward)))
+        found = []
+        x, y = len(self.xs), len(self.ys)
+        while x and y:
+            low, n, diagonal, upward = moves[x - 1]
+            at, bit = (y - 1 - low) >> 3, 7 - ((y - 1 - low) & 7)
+            if y <= low:  # left of the band: the row above's
+                x -= 1
+            elif y > low + n:  # right of it: nothing yet
+                y -= 1
+            elif diagonal[at] >> bit & 1:
+                found.append((self.xs[x - 1], self.ys[y - 1]))
+                x, y = x - 1, y - 1
+            elif upward[at] >> bit & 1:
+                x -= 1
+            else:
+                y -= 1
+        return int(row[-1]), found
 
 
 def _common(a: _Tree, b: _Tree, xs: list[int], ys: list[int]) -> int:

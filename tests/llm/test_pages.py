@@ -194,3 +194,32 @@ def test_tables_too_large_are_cut_to_common_ends(monkeypatch):
     monkeypatch.setattr(pg, "TABLE_CELLS", 0)
     found = pg._align("r(a(#),b(#),c(#))", "r(a(#),c(#),c(#))")
     assert found == {0: 0, 1: 1, 2: 2, 5: 5, 6: 6}
+
+
+def test_large_tables_are_matched_whole(monkeypatch):
+    """Lists too long for a table held at once: as much is matched as with one, not their ends alone."""
+    rng = random.Random(7)
+
+    def tree(blocks):
+        return f"r({','.join(blocks)})"
+
+    def weight_of(found, seed, page):
+        s, p = (pg._Tree(x, {}) for x in (seed, page))
+        above = [{k: i for i, kids in enumerate(t.kids) for k in kids} for t in (s, p)]
+        assert all(s.keys[i] == p.keys[j] and (j == 0 or found[above[1][j]] == above[0][i]) for j, i in found.items())
+        assert sorted(found.values()) == [found[j] for j in sorted(found)] and len(set(found.values())) == len(found)
+        return len(found)
+
+    for trial in range(60):
+        kinds = ["a(#)", "b(#)", "b(#,c(#),#)", "b(c(#),#)", "b(c(#),d(#),c(#,d(#)))", "e(#)", "a(b(#),b(c(#)))"]
+        x = [rng.choice(kinds) for _ in range(rng.randint(0, 40))]
+        y = [k for k in x if rng.random() < 0.8] if trial % 2 else [rng.choice(kinds) for _ in range(rng.randint(0, 40))]
+        for _ in range(trial % 5):
+            y.insert(rng.randint(0, len(y)), rng.choice(kinds))
+        seed, page = tree(x), tree(y)
+        monkeypatch.undo()
+        want = weight_of(pg._align(seed, page), seed, page)
+        for cells, band in ((0, 1), (0, 64), (50, 1), (50, 4), (300, 2)):
+            monkeypatch.setattr(pg, "TABLE_CELLS", cells)
+            monkeypatch.setattr(pg, "BAND", band, raising=False)
+            assert weight_of(pg._align(seed, page), seed, page) == want
