@@ -86,12 +86,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < k").select(F.col("k").alias("u"), F.col("m").alias("v")))
+        # a node's larger neighbours, and itself by the row of its least, if that is smaller; one join and
+        # no union, here and below, as each use of a branch would repeat its whole plan in the driver
+        large = both.join(least, F.col("u") == F.col("k")).where("v > u OR v = m").select(F.greatest("u", "v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
-        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialise(hung.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        small = large.join(low, F.col("u") == F.col("k"))
+        hung = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        stars = materialise(small.select(F.inline(hung)).where("u <> v").distinct(), "stars")
         now = signature(stars)
         if now == before:
             break

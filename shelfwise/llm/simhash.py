@@ -378,7 +378,8 @@ def similar_units(units: DataFrame, sketches: DataFrame, similarity: float) -> D
     slim = ("key", "unit", "row", "n")
     own = F.xxhash64("fp", F.lit(SEED))
     keys = units.withColumn("key", F.explode(F.array_append("bands", own))).select(*slim)
-    keys = keys.unionByName(_apart(units).join(units, F.col("print") == F.col("fp")).select(*slim))
+    apart = materialise(_apart(units), "apart")  # ``keys`` is used twice
+    keys = keys.unionByName(apart.join(units, F.col("print") == F.col("fp")).select(*slim))
     weight = 1 + F.floor(F.col("n") / LONG)
     shared = keys.groupBy("key").agg(F.count("*").alias("units"), F.sum(weight).alias("m")).where("units > 1").select("key", "m")
     met = materialise(keys.join(shared, "key").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int")), "buckets")

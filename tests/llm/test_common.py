@@ -102,3 +102,19 @@ def test_stages_leave_clashing_columns_alone(spark, tmp_path):
     path = str(tmp_path / "last")
     table.write.parquet(path)
     assert corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(path), "").count() == 3
+
+
+def test_plans_of_rounds_stay_small(spark, monkeypatch):
+    """The driver plans each round anew and keeps its plans for a while, which is most of what it does."""
+    from shelfwise.llm import common
+
+    real, sizes = common.materialise, []
+
+    def counted(df, name):
+        sizes.append(df._jdf.queryExecution().sparkPlan().toString().count("\n"))
+        return real(df, name)
+
+    monkeypatch.setattr(common, "materialise", counted)
+    got = {r.node: r.root for r in common.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    assert len(sizes) > 2 and max(sizes) <= 66, sizes
